@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat_format, mixing
+from tarn.llm import bpe, chat_format, mixing, token_files
 from tarn.llm.common import documents
 from tarn.llm.exact_dedup import exact_groups
 
@@ -61,11 +62,27 @@ FROM all_turns GROUP BY conv_id
 """
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_file()).withColumnRenamed("id", "doc_id")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.scratch_path(spark)
+    token_files.write_ids(documents(spark, sf_dir), tokenizer_file(), out)
+    return token_files.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_mixing": op3_mixing,
+        "op5_bpe": op5_bpe,
         "op6_chat_format": op6_chat_format,
+        "op10_token_files": op10_token_files,
     }
 
 
