@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat_format, mixing, token_files
+from tarn.llm import bpe, chat_format, fingerprint, mixing, token_files, unigram
 from tarn.llm.common import documents
 from tarn.llm.exact_dedup import exact_groups
 
@@ -70,6 +70,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.scratch_path(spark)
     token_files.write_ids(documents(spark, sf_dir), tokenizer_file(), out)
@@ -82,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op5_bpe": op5_bpe,
         "op6_chat_format": op6_chat_format,
+        "op7_token_counts": op7_token_counts,
+        "op8_fingerprint": op8_fingerprint,
         "op10_token_files": op10_token_files,
     }
 

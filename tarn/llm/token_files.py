@@ -27,16 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarn.llm.common import materialize, scratch_dir
+from tarn.llm.ranges import RANGE_ROWS, borders, range_of
 from tarn.llm.tokens import ChunkCache, small_batches
 
-#: Documents a shard should hold and the most shards (they hold more documents beyond).
-SHARD_DOCS, MAX_SHARDS = 4096, 8192
-
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(5)], np.uint32)
 
@@ -108,14 +105,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _shard(borders: list[int]) -> Column:
-    """The number of borders below doc_id; null is in the first shard."""
-    if not borders:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(borders), lambda x: x < F.col("doc_id"))), F.lit(0))
-
-
-def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> None:
+def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = RANGE_ROWS) -> None:
     """Encode ``docs`` with the tokenizer file at ``path`` and write the tables ``ids`` and ``ranks`` under ``out``."""
     encoded = materialize(encode_raw(docs, path, end_id, id_col, text_col), "encoded")
     counts = id_counts(encoded).orderBy(F.desc("n"), "id").select("id").collect()  # as many as the vocabulary has
@@ -124,13 +114,12 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
     spark = docs.sparkSession
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
-    shards = max(1, min(MAX_SHARDS, encoded.count() // shard_docs))
-    borders = sorted({x for x in encoded.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [] if x is not None}) if shards > 1 else []
-    dealt = encoded.withColumn("shard", _shard(borders))
-    totals = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # MAX_SHARDS at most
-    offsets, at = {}, 0
+    at, _ = borders(encoded, "doc_id", shard_docs)
+    dealt = encoded.withColumn("shard", range_of("doc_id", at))
+    totals = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # MAX_RANGES at most
+    offsets, before = {}, 0
     for shard, n in sorted(tuple(r) for r in totals):
-        offsets[shard], at = at, at + n
+        offsets[shard], before = before, before + n
     known = spark.sparkContext.broadcast(rank_of)  # as many as the vocabulary has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +137,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
             arrays = [batch.column("shard"), pa.array(starts, pa.int64()), batch.column("doc_id"), batch.column("n_tokens"), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["shard", "start", "doc_id", "n_tokens", "control", "data"])
 
-    ordered = dealt.select("shard", "doc_id", "n_tokens", "raw").repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "raw")
+    ordered = dealt.select("shard", "doc_id", "n_tokens", "raw").repartitionById(len(at) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "raw")
     ordered.mapInArrow(run, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "none").parquet(f"{out}/ids")
 
 
