@@ -21,7 +21,9 @@ import functools
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.llm.tokens import ChunkCache, small_batches
+from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
 
 WORD_END = "</w>"
 _NEVER = np.int64(1) << 40
+#: Signs that are a word of their own after a letter.
+SIGNS = frozenset(".,;:!?")
+#: Words a worker keeps beside the chunks they occur in.
+MAX_WORDS = 500_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -59,7 +65,7 @@ class WordBpe:
         self.added_at = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         #: Beyond Latin the library's own tables decide what is a letter; Unicode versions differ there.
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.exotic = regex.compile("[^\\x00-\u024f]")
+        self.exotic = regex.compile("[^\\x00-\u012f\u0131-\u024f]")
         self.word_at = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p))
         self.alphabet = _byte_alphabet()
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(WORD_END)}
@@ -79,6 +85,12 @@ class WordBpe:
         self.codes, self.ranks = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self._drop_unreachable()
         self.longest = max(map(len, self.inner))
+        #: The longest entry by its first three characters.
+        self.reach: dict[str, int] = {}
+        for t in self.inner:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
+        self.known_words: dict[str | tuple[str], list[int]] = {}
 
     @staticmethod
     def _name(pair) -> str:
@@ -96,8 +108,22 @@ class WordBpe:
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Exact merging: always the lowest rank, of equal ones the leftmost."""
-        if len(ids) < 2:
-            return ids
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        merges, never = self.merges, (1 << 40, 0)
+        ranks = [merges.get(p, never)[0] for p in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < 1 << 40:
+            i = ranks.index(low)
+            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), never)[0]
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), never)[0]
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and a linked list, n log n in the length."""
         after = list(range(1, len(ids))) + [-1]
         before = [-1, *range(len(ids) - 1)]
         ids = list(ids)
@@ -121,12 +147,12 @@ class WordBpe:
     def _propose(self, word: str) -> list[int]:
         """Greedy longest match; the last entry carries the word end."""
         out, at, n = [], 0, len(word)
-        inner, final, longest = self.inner, self.final, self.longest
+        inner, final, longest, reach = self.inner, self.final, self.longest, self.reach
         while True:
             if n - at <= longest and (i := final.get(word[at:])) is not None:
                 out.append(i)
                 return out
-            for stop in range(min(n - 1, at + longest), at, -1):
+            for stop in range(min(n - 1, at + reach.get(word[at : at + 3], 2)), at, -1):
                 if (i := inner.get(word[at:stop])) is not None:
                     out.append(i)
                     at = stop
@@ -170,25 +196,37 @@ class WordBpe:
 
     def split_words(self, text: str) -> list[str]:
         """The words of a text in the byte alphabet."""
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[:-1].isalpha() and text[-1] in SIGNS:
+                return [text[:-1].lower(), text[-1]]
+            words = self.word_at.findall(text.lower())
+            return words if text.isprintable() else ["".join(map(self.alphabet.__getitem__, w.encode())) for w in words]
         if self.exotic.search(text):
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         words = self.word_at.findall(unicodedata.normalize("NFC", text).lower())
-        return [w if w.isascii() and w.isprintable() else "".join(map(self.alphabet.__getitem__, w.encode())) for w in words]
+        return [w.encode().decode("latin-1").translate(self.alphabet) for w in words]
 
     def encode_chunks(self, texts: list[str]) -> list[list[int]]:
         """Ids of chunks without white space."""
         parts: list[list] = []
-        new: dict[str, int] = {}
         for text in texts:
-            own: list = []
-            for piece in self.added_at.split(text) if self.added_at and "<" in text else (text,):
-                if piece in self.added:
-                    own.append(-1 - self.added[piece])
-                elif piece:
-                    own += [new.setdefault(w, len(new)) for w in self.split_words(piece)]
-            parts.append(own)
-        ids = self.words(list(new))
-        return [[i for w in own for i in (ids[w] if w >= 0 else (-1 - w,))] for own in parts]
+            if self.added_at and "<" in text:
+                own: list = []
+                for piece in filter(None, self.added_at.split(text)):
+                    own += [(piece,)] if piece in self.added else self.split_words(piece)
+                parts.append(own)
+            else:
+                parts.append(self.split_words(text))
+        known = self.known_words
+        if len(known) > MAX_WORDS:
+            known.clear()
+        new = list({w for own in parts for w in own} - known.keys())
+        plain = [w for w in new if isinstance(w, str)]
+        known.update(zip(plain, self.words(plain), strict=True))
+        known.update((w, [self.added[w[0]]]) for w in new if not isinstance(w, str))
+        return [known[own[0]] if len(own) == 1 else [i for w in own for i in known[w]] for own in parts]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -200,43 +238,51 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def chunk_bytes(bpe: WordBpe, new: list[str]) -> Iterator[bytes]:
+    """Ids of each chunk as little-endian unsigned 32-bit integers."""
+    for ids in bpe.encode_chunks(new):
+        yield array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
-    """Chunk to (ids as little-endian unsigned 32-bit integers, their tokens as decoded)."""
+    """Chunk to (ids, their tokens as decoded, each followed by a space)."""
     bpe = load(path)
-    return ChunkCache(lambda new: [(np.array(ids, "<u4").tobytes(), bpe.decode(ids)) for ids in bpe.encode_chunks(new)])
+    names = {i: f"{t} ".encode() for i, t in bpe.tokens.items()}
+
+    def encode(new: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        for ids in bpe.encode_chunks(new):
+            yield array("I", ids).tobytes(), b"".join([names[i] for i in ids])
+
+    return ChunkCache(encode)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_tokens, ids array<int>, ids_sha256, decoded_sha256) and the columns of ``keep``: a row for each input row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    added = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
+    """(id, the columns of ``keep``, n_tokens, ids array<int>, ids_sha256, decoded_sha256): a row for each input row."""
+    rows = docs.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
+    added = "n_tokens long, " + ("ids array<int>, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
     schema = StructType(rows.drop("__text").schema.fields + StructType.fromDDL(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for batch, texts in small_batches(batches, "__text"):
-            ids, n, ids_sha, decoded_sha = [], [], [], []
-            for found in cache.texts(texts):
-                raw = b"".join([x[0] for x in found])
-                decoded = " ".join([x[1] for x in found if x[0]])
-                ids.append(raw)
-                n.append(len(raw) // 4)
-                ids_sha.append(hashlib.sha256(raw).hexdigest())
-                decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            own = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__text"]
-            names = [x for x in batch.schema.names if x != "__text"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), lists, pa.array(ids_sha), pa.array(decoded_sha)], [*names, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            found = Chunked(spaced(texts), cache)
+            ids = found.joined(lambda v: v[0])
+            n = [len(x) // 4 for x in ids]
+            columns = [*batch.columns[:-1], pa.array(n, pa.int64())]
+            if with_ids:
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat))
+            columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+            columns.append(pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in found.joined(lambda v: v[1])], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``encode`` without the ids themselves."""
-    return encode(docs, path, id_col, text_col).drop("ids")
+    return encode(docs, path, id_col, text_col, with_ids=False)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

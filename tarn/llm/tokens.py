@@ -1,63 +1,85 @@
-"""What the token operators share: splitting texts at white space and encoding each distinct chunk once.
+"""What the token operators share: each distinct chunk of a batch of texts is encoded once.
 
-The tokenizer file's patterns never match across white space, so a text's ids are those of its white-space
-chunks, one after the other. A worker keeps the encoded chunks it has seen, up to ``MAX_CHUNKS``; beyond
-that it starts over with the ones in hand, so its memory is bounded for any number of distinct words.
+A tokenizer file's words never reach across the separators at which ``split`` cuts, so what a text is mapped
+to is what its chunks are mapped to, one after the other. Splitting, finding a batch's distinct chunks and laying out
+the results are Arrow kernels. A worker keeps the encoded chunks it has seen, up to ``MAX_CHUNKS``; beyond that
+it forgets those that have not come at least twice lately, so its memory is bounded for any number of words.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Encoded chunks a worker keeps; texts whose chunks are looked up together.
-MAX_CHUNKS, TEXTS_AT_ONCE = 300_000, 128
-
-#: White space as the tokenizer file's patterns have it; ``str.split`` also splits at U+001C to U+001F.
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-def chunks(text: str) -> list[str]:
-    return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
+#: Encoded chunks a worker keeps; texts and bytes of text whose chunks are looked up together.
+MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 600_000, 2048, 8 << 20
 
 
 class ChunkCache:
-    """Maps chunks to what ``encode`` makes of them; ``encode`` takes the distinct unseen chunks of several texts."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], split: Callable[[str], list[str]] = chunks, most: int = MAX_CHUNKS):
-        self.encode, self.split, self.most, self.known = encode, split, most, {}
-
-    def texts(self, texts: list[str]) -> Iterator[list]:
-        """For each text what its chunks map to, in order."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [self.split(x) for x in texts[at : at + TEXTS_AT_ONCE]]
-            here = set().union(*split)
-            new = list(here - self.known.keys())
-            if new:
-                self.known.update(zip(new, self.encode(new), strict=True))
-            get = self.known.__getitem__
-            for x in split:
-                yield list(map(get, x))
-            if len(self.known) > self.most:
-                self.known = {c: self.known[c] for c in here} if len(here) < self.most else {}
-
-
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a bounded size with the texts of ``column``; null texts are empty."""
+    """Maps distinct chunks to what ``encode`` makes of them; ``encode`` takes the unseen ones."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = MAX_CHUNKS):
+        self.encode, self.most, self.known = encode, most, {}
+        self.lately: deque[list[str]] = deque(maxlen=16)
+
+    def look_up(self, chunks: list[str]) -> list:
+        out = list(map(self.known.get, chunks))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            new = [chunks[i] for i in at]
+            for i, c, x in zip(at, new, self.encode(new), strict=True):
+                out[i] = self.known[c] = x
+        self.lately.append(chunks)
+        if len(self.known) > self.most:
+            again = [c for c, n in Counter(c for x in self.lately for c in x).most_common() if n > 1 and c in self.known]
+            self.known = {c: self.known[c] for c in again[: self.most // 2]}
+        return out
+
+
+def spaced(texts: pa.Array) -> pa.ListArray:
+    """Chunks between ASCII white space; some may be empty."""
+    return pc.ascii_split_whitespace(texts)
+
+
+class Chunked:
+    """The chunks of several texts: the distinct ones' values, the index of each chunk, and where each text begins and ends."""
+
+    def __init__(self, lists: pa.ListArray, cache: ChunkCache):
+        encoded = lists.flatten().dictionary_encode()
+        self.index = encoded.indices
+        self.bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        self.chunks = encoded.dictionary.to_pylist()
+        self.values = cache.look_up(self.chunks)
+
+    def joined(self, pick: Callable) -> list[memoryview]:
+        """For each text the bytes that ``pick`` takes of its chunks' values, one after the other."""
+        if not len(self.index):
+            return [memoryview(b"")] * (len(self.bounds) - 1)
+        taken = pa.array([pick(v) for v in self.values], pa.large_binary()).take(self.index)
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][self.bounds].tolist()
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def summed(self) -> np.ndarray:
+        """For each text the sum of its chunks' values, which are numbers."""
+        each = np.array(self.values or [0], np.int64)[self.index.to_numpy()]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a bounded size (one text at least) with the texts of ``column``; null texts are empty."""
     for batch in batches:
+        texts = pc.fill_null(batch.column(column), "")
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])
         at = 0
-        texts = batch.column(column)
         while at < batch.num_rows:
-            rows = min(1024, batch.num_rows - at)
-            while rows > 1 and texts.slice(at, rows).get_total_buffer_size() and _size(texts.slice(at, rows)) > most_bytes:
-                rows //= 2
-            piece = batch.slice(at, rows)
-            yield piece, [x or "" for x in piece.column(column).to_pylist()]
+            rows = int(np.searchsorted(size, size[at] + BYTES_AT_ONCE, "right")) - 1 - at
+            rows = max(1, min(TEXTS_AT_ONCE, rows, batch.num_rows - at))
+            yield batch.slice(at, rows), texts.slice(at, rows)
             at += rows
-
-
-def _size(array: pa.Array) -> int:
-    return array.nbytes

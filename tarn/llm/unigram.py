@@ -23,11 +23,13 @@ import functools
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.tokens import ChunkCache, small_batches
+from tarn.llm.tokens import ChunkCache, Chunked, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -41,14 +43,12 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-def words(text: str) -> list[str]:
-    """The words of a text, each with its mark."""
-    if not text:
-        return []
-    parts = text.replace(MARK, " ").split(" ")
-    if not parts[0]:
-        del parts[0]
-    return [MARK + x for x in parts]
+def words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text without their marks; an empty text has none."""
+    texts = pc.replace_substring(texts, MARK, " ")
+    # A text that begins with a space gets no mark before it: there the first word begins at the space.
+    texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts))
+    return pc.split_pattern(texts, " ")
 
 
 class CountViterbi:
@@ -92,7 +92,7 @@ class CountViterbi:
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
     viterbi = CountViterbi(pieces_of(path))
-    return ChunkCache(lambda new: map(viterbi.count, new), words)
+    return ChunkCache(lambda new: [viterbi.count(MARK + w) for w in new])
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,11 +101,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for batch, texts in small_batches(batches, "__text"):
-            n_words, n_tokens = [], []
-            for found in cache.texts(texts):
-                n_words.append(len(found))
-                n_tokens.append(sum(found))
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(x) for x in texts], n_words, n_tokens))]
+            found = Chunked(words(texts), cache)
+            arrays = [batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(np.diff(found.bounds)), pa.array(found.summed())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_chars", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
