@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat_format, fingerprint, mixing, quality, token_files, unigram
+from tarn.llm import bpe, chat_format, fingerprint, mixing, near_dedup, pii, quality, token_files, unigram
 from tarn.llm.common import documents
 from tarn.llm.exact_dedup import exact_groups
 
@@ -69,6 +69,10 @@ FROM all_turns GROUP BY conv_id
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir)).drop("found")
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
@@ -85,10 +89,14 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.scratch_path(spark)
     token_files.write_ids(documents(spark, sf_dir), tokenizer_file(), out)
-    return token_files.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
+    return token_files.read_checksums(spark, out)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,10 +104,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
         "op3_mixing": op3_mixing,
+        "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op6_chat_format": op6_chat_format,
         "op7_token_counts": op7_token_counts,
         "op8_fingerprint": op8_fingerprint,
+        "op9_near_dedup": op9_near_dedup,
         "op10_token_files": op10_token_files,
     }
 
