@@ -21,7 +21,6 @@ import functools
 import hashlib
 import heapq
 import json
-import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -238,12 +237,6 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def chunk_bytes(bpe: WordBpe, new: list[str]) -> Iterator[bytes]:
-    """Ids of each chunk as little-endian unsigned 32-bit integers."""
-    for ids in bpe.encode_chunks(new):
-        yield array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-
-
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
     """Chunk to (ids, their tokens as decoded, each followed by a space)."""
@@ -254,7 +247,7 @@ def _cache(path: str) -> ChunkCache:
         for ids in bpe.encode_chunks(new):
             yield array("I", ids).tobytes(), b"".join([names[i] for i in ids])
 
-    return ChunkCache(encode)
+    return ChunkCache(encode, pa.large_binary(), pa.large_binary())
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
@@ -267,14 +260,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         cache = _cache(path)
         for batch, texts in small_batches(batches, "__text"):
             found = Chunked(spaced(texts), cache)
-            ids = found.joined(lambda v: v[0])
+            ids = found.joined(0)
             n = [len(x) // 4 for x in ids]
             columns = [*batch.columns[:-1], pa.array(n, pa.int64())]
             if with_ids:
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat))
             columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
-            columns.append(pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in found.joined(lambda v: v[1])], pa.string()))
+            columns.append(pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in found.joined(1)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -65,10 +65,8 @@ class Bags:
     def __init__(self, texts: pa.Array, cache: ChunkCache):
         found = Chunked(spaced(texts), cache)
         n = len(texts)
-        owner = np.repeat(np.arange(n), np.diff(found.bounds))
-        full = np.array([bool(c) for c in found.chunks] or [False])[found.index.to_numpy()] if len(owner) else np.zeros(0, bool)
-        words = np.array(found.values or [0], np.uint64)[found.index.to_numpy()][full] if len(owner) else np.zeros(0, np.uint64)
-        owner = owner[full]
+        owner = np.repeat(np.arange(n), np.diff(found.bounds))[found.full]
+        words = found.numbers()[found.full]
         n_words = np.bincount(owner, minlength=n)
         ends = np.cumsum(n_words)
         self.digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends - n_words, ends, strict=True)]
@@ -140,7 +138,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int
 
 
 def _cache() -> ChunkCache:
-    return ChunkCache(lambda new: map(_word, new))
+    return ChunkCache(lambda new: map(_word, new), pa.uint64())
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -207,7 +207,7 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFram
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     known = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").nonzero()[0] if len(words) < 1000 else bitmap)
     small = len(words) < 1000
-    hashes = ChunkCache(lambda new: map(_word_hash, new))
+    hashes = ChunkCache(lambda new: map(_word_hash, new), pa.uint64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if small:
@@ -218,13 +218,9 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFram
         nothing = np.uint64(_word_hash(""))
         for batch, texts in small_batches(batches, "__text"):
             found = Chunked(spaced(texts), hashes)
-            index = found.index.to_numpy()
-            if not len(index):
-                continue
             # Chunks without the empty ones that leading and trailing white space leaves.
-            texts_of = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
-            full = np.array([bool(c) for c in found.chunks])[index]
-            h, texts_of = np.array(found.values, np.uint64)[index][full], texts_of[full]
+            texts_of = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))[found.full]
+            h = found.numbers()[found.full]
             n = len(h)
             if not n:
                 continue

@@ -107,7 +107,7 @@ class _Library:
 
 @functools.lru_cache(maxsize=2)
 def _library_cache(path: str, width: str) -> ChunkCache:
-    return ChunkCache(_Library(path, width).encode)
+    return ChunkCache(_Library(path, width).encode, pa.large_binary())
 
 
 def id_width(path: str, end_id: int) -> str:
@@ -123,7 +123,7 @@ def encode_raw(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _library_cache(path, width)
         for batch, texts in small_batches(batches, "__text"):
-            raw = [bytes(x) + end for x in Chunked(spaced(texts), cache).joined(lambda v: v)]
+            raw = [bytes(x) + end for x in Chunked(spaced(texts), cache).joined()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "raw"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))

@@ -1,14 +1,14 @@
-"""What the token operators share: each distinct chunk of a batch of texts is encoded once.
+"""What the operators over words share: each distinct chunk of a worker's texts is encoded once.
 
-A tokenizer file's words never reach across the separators at which ``split`` cuts, so what a text is mapped
-to is what its chunks are mapped to, one after the other. Splitting, finding a batch's distinct chunks and laying out
-the results are Arrow kernels. A worker keeps the encoded chunks it has seen, up to ``MAX_CHUNKS``; beyond that
-it forgets those that have not come at least twice lately, so its memory is bounded for any number of words.
+A tokenizer file's words never reach across the separators at which texts are split, so what a text is mapped
+to is what its chunks are mapped to, one after the other. Splitting, finding a batch's distinct chunks, telling the
+new ones and laying out the results are Arrow kernels; only new chunks become Python objects. A worker keeps the
+chunks it has seen with their values in Arrow arrays, up to ``MAX_CHUNKS``; beyond that it forgets the half that came in the
+fewest batches, so its memory is bounded for any number of words.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,28 +16,36 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded chunks a worker keeps; texts and bytes of text whose chunks are looked up together.
-MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 600_000, 2048, 8 << 20
+MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_500_000, 8192, 12 << 20
 
 
 class ChunkCache:
-    """Maps distinct chunks to what ``encode`` makes of them; ``encode`` takes the unseen ones."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = MAX_CHUNKS):
-        self.encode, self.most, self.known = encode, most, {}
-        self.lately: deque[list[str]] = deque(maxlen=16)
-
-    def look_up(self, chunks: list[str]) -> list:
-        out = list(map(self.known.get, chunks))
-        at = [i for i, x in enumerate(out) if x is None]
-        if at:
-            new = [chunks[i] for i in at]
-            for i, c, x in zip(at, new, self.encode(new), strict=True):
-                out[i] = self.known[c] = x
-        self.lately.append(chunks)
+    """Maps distinct chunks to the values that ``encode`` makes of new ones: a value of each of ``types`` for each chunk."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], *types: pa.DataType, most: int = MAX_CHUNKS):
+        self.encode, self.types, self.most = encode, types, most
+        self.known, self.values, self.hits = pa.array([], pa.string()), [pa.array([], t) for t in types], np.zeros(0, np.int32)
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where the values of distinct chunks stand; new ones are encoded."""
         if len(self.known) > self.most:
-            again = [c for c, n in Counter(c for x in self.lately for c in x).most_common() if n > 1 and c in self.known]
-            self.known = {c: self.known[c] for c in again[: self.most // 2]}
-        return out
+            self._forget()
+        found = pc.index_in(chunks, value_set=self.known)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = chunks.filter(pc.is_null(found))
+            made = list(self.encode(new.to_pylist()))
+            columns = [made] if len(self.types) == 1 else list(zip(*made, strict=True))
+            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.values = [pa.concat_arrays([v, pa.array(c, t)]) for v, c, t in zip(self.values, columns, self.types, strict=True)]
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int32)])
+        self.hits[at] += 1
+        return at
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+        self.known, self.values, self.hits = self.known.take(kept), [v.take(kept) for v in self.values], self.hits[kept] >> 1
 
 
 def spaced(texts: pa.Array) -> pa.ListArray:
@@ -46,40 +54,44 @@ def spaced(texts: pa.Array) -> pa.ListArray:
 
 
 class Chunked:
-    """The chunks of several texts: the distinct ones' values, the index of each chunk, and where each text begins and ends."""
+    """The chunks of several texts: where each text begins and ends, which chunks aren't empty, and their values."""
 
     def __init__(self, lists: pa.ListArray, cache: ChunkCache):
         encoded = lists.flatten().dictionary_encode()
-        self.index = encoded.indices
+        index = encoded.indices.to_numpy()
         self.bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        self.chunks = encoded.dictionary.to_pylist()
-        self.values = cache.look_up(self.chunks)
+        self.full = (pc.binary_length(encoded.dictionary).to_numpy() > 0)[index] if len(index) else np.zeros(0, bool)
+        self.places = cache.places(encoded.dictionary)[index] if len(index) else np.zeros(0, np.int64)
+        self.values = cache.values
 
-    def joined(self, pick: Callable) -> list[memoryview]:
-        """For each text the bytes that ``pick`` takes of its chunks' values, one after the other."""
-        if not len(self.index):
+    def joined(self, column: int = 0) -> list[memoryview]:
+        """For each text the bytes of its chunks' values, one after the other."""
+        if not len(self.places):
             return [memoryview(b"")] * (len(self.bounds) - 1)
-        taken = pa.array([pick(v) for v in self.values], pa.large_binary()).take(self.index)
+        taken = self.values[column].take(self.places)
         _, offsets, data = taken.buffers()
         at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][self.bounds].tolist()
         whole = memoryview(data) if data is not None else memoryview(b"")
         return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def summed(self) -> np.ndarray:
-        """For each text the sum of its chunks' values, which are numbers."""
-        each = np.array(self.values or [0], np.int64)[self.index.to_numpy()]
-        total = np.concatenate([[0], np.cumsum(each)])
+    def numbers(self, column: int = 0) -> np.ndarray:
+        """The value of each chunk, which is a number."""
+        return self.values[column].to_numpy(zero_copy_only=False)[self.places]
+
+    def summed(self, column: int = 0) -> np.ndarray:
+        """For each text the sum of its chunks' values."""
+        total = np.concatenate([[0], np.cumsum(self.numbers(column))]).astype(np.int64)
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = BYTES_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of a bounded size (one text at least) with the texts of ``column``; null texts are empty."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(column), "")
+        texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
         size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])
         at = 0
         while at < batch.num_rows:
-            rows = int(np.searchsorted(size, size[at] + BYTES_AT_ONCE, "right")) - 1 - at
+            rows = int(np.searchsorted(size, size[at] + most, "right")) - 1 - at
             rows = max(1, min(TEXTS_AT_ONCE, rows, batch.num_rows - at))
             yield batch.slice(at, rows), texts.slice(at, rows)
             at += rows

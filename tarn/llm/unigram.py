@@ -92,7 +92,7 @@ class CountViterbi:
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
     viterbi = CountViterbi(pieces_of(path))
-    return ChunkCache(lambda new: [viterbi.count(MARK + w) for w in new])
+    return ChunkCache(lambda new: [viterbi.count(MARK + w) for w in new], pa.int64())
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
