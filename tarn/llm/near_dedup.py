@@ -13,8 +13,8 @@ Search. Nodes that agree on all rows of a band share a bucket; a pair of likenes
 probability 0.000003. First the smallest node of each bucket is compared with the others, and components are found among
 the verified links. Buckets that still hold several components are open. In an open bucket, dealt anew into blocks of ``BLOCK``
 nodes in each of ``ROUNDS`` rounds, the signatures of all pairs across components are compared at once, and each node is verified
-against the ``PARTNERS`` most alike ones of other components. No bucket is emitted as pairs: rows grow with the nodes, also in a group
-of any size. Verification computes the exact index from the two bags.
+against the most alike one of another component, in the next round against the second of those that are left, and so on. No
+bucket is emitted as pairs: rows grow with the nodes, also in a group of any size. Verification computes the exact index from the two bags.
 
 Scale. Texts are scanned twice and never shuffled: once for the signatures, once for the bags of those nodes that share a bucket
 (told by a bitmap of fixed size). Copies are pre-aggregated by a digest of their words. Components are found in tables.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
-BLOCK, ROUNDS, PARTNERS, FILTER_BITS = 1024, 3, 3, 1 << 26
+BLOCK, ROUNDS, FILTER_BITS = 1024, 3, 1 << 26
+#: Bytes of text whose signatures are drawn at once.
+BYTES = 2 << 20
 #: Signatures this far below LIKENESS are not verified: five standard errors.
 _SURE = LIKENESS - 5 * (LIKENESS * (1 - LIKENESS) / (BANDS * ROWS)) ** 0.5
 
@@ -146,7 +149,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache()
-        for batch, texts in small_batches(batches, "__text"):
+        for batch, texts in small_batches(batches, "__text", BYTES):
             bags = Bags(texts, cache)
             signs = signatures(bags.owner, bags.shingle, bags.count, len(texts))
             columns = [pa.array(bags.digests, pa.binary()), pa.array(bags.sizes, pa.int64()), pa.array([s.tobytes() if k else None for s, k in zip(signs, bags.sizes, strict=True)], pa.binary())]
@@ -170,7 +173,7 @@ def _bags(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             spots = batch.column(1).to_numpy()
             mask = pa.array((bitmap[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool))
-            for piece, texts in small_batches([batch.filter(mask)], "__text"):
+            for piece, texts in small_batches([batch.filter(mask)], "__text", BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(Bags(texts, cache).of_each(), pa.binary())], ["node", "bag"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(text_col).alias("__text")).select("node", spot.alias("spot"), "__text")
@@ -191,24 +194,25 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return two.mapInArrow(run, "a long, b long, likeness double")
 
 
-def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (block, node, component, size, signature) sorted by block: the most alike across components."""
+def _partners(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows (block, node, component, size, signature) sorted by block: each node and the one of another component that comes at ``place`` by likeness."""
 
     def pairs(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        for at in range(0, len(nodes), 64):
+        a, b = [nodes[:0]], [nodes[:0]]
+        for at in range(0, len(nodes) if len(nodes) > place else 0, 64):
             some = slice(at, at + 64)
             same = np.zeros((len(nodes[some]), len(nodes)), np.int32)
             for k in range(_M):
                 same += signs[some, k, None] == signs[None, :, k]
             ratio = np.minimum(sizes[some, None], sizes) >= LIKENESS * np.maximum(sizes[some, None], sizes)
             same[(parts[some, None] == parts) | ~ratio | (same < _SURE * _M)] = -1
-            best = np.argsort(-same, axis=1, kind="stable")[:, :PARTNERS]
-            i, j = np.nonzero(np.take_along_axis(same, best, 1) >= 0)
+            best = np.argsort(-same, axis=1, kind="stable")[:, place : place + 1]
+            i = np.flatnonzero(np.take_along_axis(same, best, 1)[:, 0] >= 0)
             a.append(nodes[some][i])
-            b.append(nodes[best[i, j]])
+            b.append(nodes[best[i, 0]])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     held: list[pa.Table] = []
 
@@ -257,11 +261,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             blocks = F.ceil(F.col("n") / BLOCK)
             dealt = placed.join(open_.select("band", "key", "n").hint("merge"), ["band", "key"]).select("node", "component", F.xxhash64("band", "key", F.pmod(F.xxhash64("node", F.lit(round_)), blocks)).alias("block"))
             rows = dealt.join(signs, "node").select("block", "node", "component", "size", "signature")
-            pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_partners, "a long, b long")
+            pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_partners, place=round_ - 1), "a long, b long")
         pairs = materialize(pairs.distinct(), f"pairs{round_}")
         links = materialize(_verified(pairs, bags), f"links{round_}")
         if links.isEmpty():
-            break
+            continue
         between = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
         merged = components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
         salted = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
