@@ -1,4 +1,4 @@
-"""Every query plan of the library with its SQL twin."""
+"""Every query plan of the library with its SQL twin (None where SQL can't express it)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.plans import corpus, retrieval
+
+_ALL = {**retrieval.QUERIES, **corpus.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
