@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarn.functions import fixed_values as V
-from tarn.functions.text import contained, literals, strip
+from tarn.functions.text import contained, let, literals, strip
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return F.exists(literals(words), lambda w: F.contains(text, w))
+    return let(text, lambda t: F.exists(literals(words), lambda w: F.contains(t, w)))
 
 
 def _issues(*found: tuple[Column, Column | str]) -> Column:
@@ -29,7 +29,7 @@ def check_clarity(description: Column) -> Column:
     """struct(is_clear, issues, signal_terms, concrete_terms, questions)."""
     text = strip(description)
     lower = F.lower(text)
-    having = lambda words: F.filter(literals(words), lambda w: F.contains(lower, F.lower(w)))
+    having = lambda words: let(lower, lambda t: F.filter(literals(words), lambda w: F.contains(t, F.lower(w))))
     signals, concrete, vague = having(V.SIGNAL_TERMS), having(V.CONCRETE_TERMS), having(V.VAGUE_TERMS)
     none = F.size(concrete) == 0
     m = V.CLARITY_ISSUES
@@ -42,7 +42,8 @@ def check_clarity(description: Column) -> Column:
 def route_problem(context: Column, goal: Column | None = None) -> Column:
     """Problem types with a keyword in the text, in rule order; the general one without any."""
     text = F.lower(F.concat(context, F.lit("\n"), F.coalesce(goal if goal is not None else F.lit(""), F.lit(""))))
-    types = F.array_compact(F.array(*[F.when(_any(text, [w.lower() for w in words]), F.lit(t)) for t, words in V.PROBLEM_KEYWORDS.items()]))
+    found = lambda t: F.array_compact(F.array(*[F.when(F.exists(literals([w.lower() for w in words]), lambda w: F.contains(t, w)), F.lit(k)) for k, words in V.PROBLEM_KEYWORDS.items()]))
+    types = let(text, found)
     return F.when(F.size(types) > 0, types).otherwise(F.array(F.lit(V.GENERAL_PROBLEM)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def literals(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; in a lambda a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end (``trim`` takes U+0020 only)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -38,29 +44,32 @@ def _bigrams(run: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Dictionary keywords once each, Latin words of three letters, and each CJK run with its bigrams; repeats count."""
-    text = normalize(text)
-    runs = F.regexp_extract_all(text, F.lit(f"[{V.CJK}]{{2,}}"), F.lit(0))
-    return F.concat(
-        contained(text, KEYWORDS),
-        F.regexp_extract_all(text, F.lit("[a-zA-Z]{3,}"), F.lit(0)),
-        F.flatten(F.transform(runs, lambda r: F.concat(F.array(r), _bigrams(r)))),
-    )
+
+    def of(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(f"[{V.CJK}]{{2,}}"), F.lit(0))
+        return F.concat(contained(t, KEYWORDS), F.regexp_extract_all(t, F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.flatten(F.transform(runs, lambda r: F.concat(F.array(r), _bigrams(r)))))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def query_terms(text: Column) -> Column:
     """Distinct keywords, Latin words and CJK runs, in order."""
-    text = normalize(text)
-    return F.array_distinct(F.concat(contained(text, KEYWORDS), F.regexp_extract_all(text, F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.regexp_extract_all(text, F.lit(f"[{V.CJK}]{{2,}}"), F.lit(0))))
+    of = lambda t: F.array_distinct(F.concat(contained(t, KEYWORDS), F.regexp_extract_all(t, F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.regexp_extract_all(t, F.lit(f"[{V.CJK}]{{2,}}"), F.lit(0))))
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def topic_score(query: Column, text: Column) -> Column:
     """Two for each query term in the text; for each topic that both mention, the keywords they mention."""
-    q, t = normalize(query), normalize(text)
-    score = F.size(F.filter(query_terms(query), lambda w: F.contains(t, w))) * 2.0
-    for words in V.TOPIC_KEYWORDS.values():
-        a, b = (F.size(contained(x, [w.lower() for w in words])) for x in (q, t))
-        score = score + F.when((a > 0) & (b > 0), (a + b).cast("double")).otherwise(0.0)
-    return score
+
+
+    def of(x: Column) -> Column:
+        score = F.size(F.filter(x["terms"], lambda w: F.contains(x["t"], w))) * 2.0
+        for words in V.TOPIC_KEYWORDS.values():
+            a, b = (F.size(contained(x[side], [w.lower() for w in words])) for side in ("q", "t"))
+            score = score + F.when((a > 0) & (b > 0), (a + b).cast("double")).otherwise(0.0)
+        return score
+
+    return let(F.struct(normalize(query).alias("q"), normalize(text).alias("t"), query_terms(query).alias("terms")), of)
 
 
 def values_to_text(values: Column) -> Column:

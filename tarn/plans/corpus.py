@@ -364,9 +364,9 @@ def evidence_match(spark, sf_dir):
     """Lines of each document held against the whole of it and of the document before, normalised."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    content, whole = T.normalize_evidence(F.col("other"), compose=False), T.normalize_evidence(F.col("text"), compose=False)
     units = F.filter(F.transform(F.split("text", "\n"), lambda u: T.normalize_evidence(u, compose=False)), lambda u: u != "")
-    return pairs.select("doc_id", ((content != "") & F.contains(content, whole)).alias("whole"), F.size(F.filter(units, lambda u: F.contains(content, u))).cast("long").alias("lines"))
+    held = T.let(T.normalize_evidence(F.col("other"), compose=False), lambda c: F.struct(((c != "") & F.contains(c, T.normalize_evidence(F.col("text"), compose=False))).alias("whole"), F.size(F.filter(units, lambda u: F.contains(c, u))).cast("long").alias("lines")))
+    return pairs.select("doc_id", held.alias("m")).select("doc_id", "m.whole", "m.lines")
 
 
 _N = "regexp_replace(lower({}), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')"
