@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 WORD_END = "</w>"
 _NEVER = np.int64(1) << 40
 #: Signs that are a word of their own after a letter.
 SIGNS = frozenset(".,;:!?")
 #: Words a worker keeps beside the chunks they occur in.
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -237,9 +237,12 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-@functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
     """Chunk to (ids, their tokens as decoded, each followed by a space)."""
+    return held_cache(("bpe", path), lambda: _new_cache(path))
+
+
+def _new_cache(path: str) -> ChunkCache:
     bpe = load(path)
     names = {i: f"{t} ".encode() for i, t in bpe.tokens.items()}
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize
 from tarn.llm.components import components
-from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -141,7 +141,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int
 
 
 def _cache() -> ChunkCache:
-    return ChunkCache(lambda new: map(_word, new), pa.uint64())
+    return held_cache(("words",), lambda: ChunkCache(lambda new: map(_word, new), pa.uint64()))
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

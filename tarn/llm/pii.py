@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize
-from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, ROUNDS, MIN_CONFIDENCE, FILTER_BITS = 3, 3, 0.8, 1 << 26
@@ -207,7 +207,6 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFram
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     known = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").nonzero()[0] if len(words) < 1000 else bitmap)
     small = len(words) < 1000
-    hashes = ChunkCache(lambda new: map(_word_hash, new), pa.uint64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if small:
@@ -216,6 +215,7 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFram
         else:
             bits = np.unpackbits(known.value.view(np.uint8), bitorder="little").view(bool)
         nothing = np.uint64(_word_hash(""))
+        hashes = held_cache(("contexts",), lambda: ChunkCache(lambda new: map(_word_hash, new), pa.uint64()))
         for batch, texts in small_batches(batches, "__text"):
             found = Chunked(spaced(texts), hashes)
             # Chunks without the empty ones that leading and trailing white space leaves.

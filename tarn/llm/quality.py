@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarn.llm.tokens import release
+
 #: Rows of each label that the dictionaries and the curve are fitted on.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 1000
 WINDOW, DICTIONARY_BYTES, LEVEL = 512, 16384, 3
@@ -123,6 +125,7 @@ def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", score
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sizes = _Sizes(model.bad, model.good)
         for batch in batches:
             scores = [model.score(*sizes.features(x.as_py() or "")) for x in batch.column(at)]

@@ -21,7 +21,6 @@ table makes empty files. An id that the counts have not seen can't be written (t
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 import zlib
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize, scratch_dir
 from tarn.llm.ranges import RANGE_ROWS, borders, range_of
-from tarn.llm.tokens import ChunkCache, Chunked, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 #: Documents and ids a block holds at most (one document at least).
 BLOCK_DOCS, BLOCK_IDS = 64, 1 << 18
@@ -105,9 +104,8 @@ class _Library:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def _library_cache(path: str, width: str) -> ChunkCache:
-    return ChunkCache(_Library(path, width).encode, pa.large_binary())
+    return held_cache(("library", path, width), lambda: ChunkCache(_Library(path, width).encode, pa.large_binary()))
 
 
 def id_width(path: str, end_id: int) -> str:

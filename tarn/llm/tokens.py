@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded chunks a worker keeps; texts and bytes of text whose chunks are looked up together.
-MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_500_000, 8192, 12 << 20
+MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 4096, 6 << 20
 
 
 class ChunkCache:
@@ -48,6 +48,23 @@ class ChunkCache:
         self.known, self.values, self.hits = self.known.take(kept), [v.take(kept) for v in self.values], self.hits[kept] >> 1
 
 
+_held: dict[tuple, ChunkCache] = {}
+
+
+def held_cache(key: tuple, make: Callable[[], ChunkCache]) -> ChunkCache:
+    """The worker's cache of that key. A worker keeps one: other operators' caches are dropped."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop the worker's cache and return freed memory."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def spaced(texts: pa.Array) -> pa.ListArray:
     """Chunks between ASCII white space; some may be empty."""
     return pc.ascii_split_whitespace(texts)

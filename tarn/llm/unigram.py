@@ -19,7 +19,6 @@ and ties get equal results. Other columns are ignored. An empty table gives an e
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.tokens import ChunkCache, Chunked, small_batches
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -89,10 +88,12 @@ class CountViterbi:
         return pieces[n] + (self.bytes_of(word[runs[n] :]) if runs[n] < n else 0)
 
 
-@functools.lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
-    viterbi = CountViterbi(pieces_of(path))
-    return ChunkCache(lambda new: [viterbi.count(MARK + w) for w in new], pa.int64())
+    def make() -> ChunkCache:
+        viterbi = CountViterbi(pieces_of(path))
+        return ChunkCache(lambda new: [viterbi.count(MARK + w) for w in new], pa.int64())
+
+    return held_cache(("unigram", path), make)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
