@@ -227,13 +227,14 @@ def semantic_overlap(chunks: list[str], size: int) -> list[str]:
 
 def hashed_embedding(units: list[str], dim: int = 64) -> np.ndarray:
     """A deterministic stand-in for a sentence model: signed hashed character trigrams, unit length."""
-    import zlib
-
-    out = np.zeros((len(units), dim), np.float32)
+    out = np.zeros((len(units), dim), np.float64)
     for row, text in zip(out, units, strict=True):
-        for i in range(max(1, len(text) - 2)):
-            h = zlib.crc32(text[i : i + 3].encode())
-            row[h % dim] += 1 if h & 0x80000000 else -1
+        c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        c = np.concatenate([c, np.zeros(max(0, 3 - len(c)), np.uint64)])
+        h = (c[:-2] * np.uint64(0x9E3779B1) + c[1:-1]) * np.uint64(0x85EBCA77) + c[2:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        seen = np.bincount((h >> np.uint64(40)).astype(np.int64) % (2 * dim), minlength=2 * dim)
+        row += seen[:dim] - seen[dim:]
         norm = np.sqrt((row * row).sum())
         row /= norm if norm else 1
-    return out
+    return out.astype(np.float32)

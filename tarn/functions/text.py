@@ -111,7 +111,7 @@ def normalize_evidence(text: Column, compose: bool = True) -> Column:
 
 def evidence_units(evidence: Column) -> Column:
     """The sentences of its paragraphs; without any, the whole."""
-    units = F.filter(F.flatten(F.transform(paragraphs(evidence), sentences)), lambda s: s != "")
+    units = F.filter(F.flatten(F.transform(paragraphs(evidence), lambda p: sentences(p))), lambda s: s != "")
     return F.when(F.size(units) > 0, units).otherwise(F.array(evidence))
 
 

@@ -31,7 +31,7 @@ def front_matter(lines: Column) -> tuple[Column, Column]:
 
 def read_markdown(spark: SparkSession, root: str, recursive: bool = True, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
     """(source, text, metadata) of the .md files under ``root`` but those named ``_...``; source is the path below root."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive).text(root)
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/+", "/")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     rows = files.select(F.substring(path, len(base) + 1, 10_000).alias("source"), strip(F.col("value")).alias("value"))
