@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from tarn.llm.common import materialize, text_or_empty
 
 #: Occurrences from which a block is salted, and the most blocks that can be (frequent ones come first by count).
-HOT_ROWS, MAX_HOT = 1024, 4096
+HOT_ROWS, MAX_HOT = 256, 4096
 #: Parts into which every integer pair is dealt.
 PAIR_SALTS = 16
 
@@ -77,10 +77,10 @@ def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int)
 
 
 def _join_back(rows: DataFrame, names: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join rows with one name for each key, each key dealt over ``PAIR_SALTS`` parts."""
+    """Join rows with one name for each key, each key dealt over ``PAIR_SALTS`` parts; names grow with the input and are never broadcast."""
     salt = F.pmod(F.hash(_ROW), F.lit(PAIR_SALTS))
     salts = F.array(*[F.lit(i) for i in range(PAIR_SALTS)])
-    return rows.withColumn("__salt", salt).join(names.withColumn("__salt", F.explode(salts)), [*on, "__salt"], how).drop("__salt")
+    return rows.withColumn("__salt", salt).join(names.withColumn("__salt", F.explode(salts)).hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
@@ -111,7 +111,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         done = done.unionByName(rows.filter("last = 0").select(_ROW, F.lit(level).alias("level"), "name"))
         rows = rows.filter("last > 0")
     first = named.filter("pos = 0").select(_ROW, "id", "sha")
-    members = done.join(first, _ROW)
+    members = done.join(first.hint("merge"), _ROW)
     groups = members.groupBy("level", "name").agg(F.max(F.struct("id", _ROW)).alias("keep"), F.count("*").alias("group_size"))
     return _join_back(members, groups, ["level", "name"]).select(
         F.col(_ROW).alias("row"),
