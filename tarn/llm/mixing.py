@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 20240607
 #: Documents a block should hold, the most blocks of a source (they hold more documents beyond), and words a shard should hold.
-BLOCK_DOCS, MAX_BLOCKS, SHARD_WORDS = 256, 65536, 16_000_000
+BLOCK_DOCS, MAX_BLOCKS, SHARD_WORDS = 256, 1 << 20, 4_000_000
 #: Rows up to which a table (of about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 50_000
 
