@@ -12,9 +12,10 @@ none can come before a component's earliest. Signatures have BANDS x ROWS compon
 Search. Nodes that agree on all rows of a band share a bucket; a pair of likeness 0.8 misses all buckets with
 probability 0.000003. First the smallest node of each bucket is compared with the others, and components are found among
 the verified links. Buckets that still hold several components are open. In an open bucket, dealt anew into blocks of ``BLOCK``
-nodes in each of ``ROUNDS`` rounds, the signatures of all pairs across components are compared at once, and each node is verified
-against the most alike one of another component, in the next round against the second of those that are left, and so on. No
-bucket is emitted as pairs: rows grow with the nodes, also in a group of any size. Verification computes the exact index from the two bags.
+nodes in each of ``ROUNDS`` rounds, the signatures of all pairs across components are compared at once, and each node outside of the
+block's largest component is verified against the ``PARTNERS`` most alike ones of other components, in the next round against the
+next ones of those that are left, and so on. No bucket is emitted as pairs: rows grow with the nodes, also in a group of any size.
+Verification computes the exact index from the two bags.
 
 Scale. Texts are scanned twice and never shuffled: once for the signatures, once for the bags of those nodes that share a bucket
 (told by a bitmap of fixed size). Copies are pre-aggregated by a digest of their words. Components are found in tables.
@@ -42,9 +43,11 @@ from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spac
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
-BLOCK, ROUNDS, FILTER_BITS = 1024, 3, 1 << 26
+BLOCK, ROUNDS, PARTNERS, FILTER_BITS = 512, 4, 2, 1 << 26
 #: Bytes of text whose signatures are drawn at once.
 BYTES = 2 << 20
+#: Words a worker keeps with their hashes.
+MAX_WORDS = 250_000
 #: Signatures this far below LIKENESS are not verified: five standard errors.
 _SURE = LIKENESS - 5 * (LIKENESS * (1 - LIKENESS) / (BANDS * ROWS)) ** 0.5
 
@@ -141,7 +144,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int
 
 
 def _cache() -> ChunkCache:
-    return held_cache(("words",), lambda: ChunkCache(lambda new: map(_word, new), pa.uint64()))
+    return held_cache(("words",), lambda: ChunkCache(lambda new: map(_word, new), pa.uint64(), most=MAX_WORDS))
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,21 +198,23 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def _partners(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (block, node, component, size, signature) sorted by block: each node and the one of another component that comes at ``place`` by likeness."""
+    """(a, b) from rows (block, node, component, size, signature) sorted by block: nodes and those of other components that come at ``place`` and after it by likeness."""
 
     def pairs(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
         a, b = [nodes[:0]], [nodes[:0]]
-        for at in range(0, len(nodes) if len(nodes) > place else 0, 64):
-            some = slice(at, at + 64)
+        names, sizes_of = np.unique(parts, return_counts=True)
+        asks = np.flatnonzero(parts != names[sizes_of.argmax()]) if sizes_of.max() > 1 else np.arange(len(nodes))
+        for at in range(0, len(asks) if len(nodes) > place else 0, 64):
+            some = asks[at : at + 64]
             same = np.zeros((len(nodes[some]), len(nodes)), np.int32)
             for k in range(_M):
                 same += signs[some, k, None] == signs[None, :, k]
             ratio = np.minimum(sizes[some, None], sizes) >= LIKENESS * np.maximum(sizes[some, None], sizes)
             same[(parts[some, None] == parts) | ~ratio | (same < _SURE * _M)] = -1
-            best = np.argsort(-same, axis=1, kind="stable")[:, place : place + 1]
-            i = np.flatnonzero(np.take_along_axis(same, best, 1)[:, 0] >= 0)
+            best = np.argsort(-same, axis=1, kind="stable")[:, place : place + PARTNERS]
+            i, j = np.nonzero(np.take_along_axis(same, best, 1) >= 0)
             a.append(nodes[some][i])
-            b.append(nodes[best[i, 0]])
+            b.append(nodes[best[i, j]])
         a, b = np.concatenate(a), np.concatenate(b)
         found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -261,7 +266,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             blocks = F.ceil(F.col("n") / BLOCK)
             dealt = placed.join(open_.select("band", "key", "n").hint("merge"), ["band", "key"]).select("node", "component", F.xxhash64("band", "key", F.pmod(F.xxhash64("node", F.lit(round_)), blocks)).alias("block"))
             rows = dealt.join(signs, "node").select("block", "node", "component", "size", "signature")
-            pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_partners, place=round_ - 1), "a long, b long")
+            pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_partners, place=(round_ - 1) * PARTNERS), "a long, b long")
         pairs = materialize(pairs.distinct(), f"pairs{round_}")
         links = materialize(_verified(pairs, bags), f"links{round_}")
         if links.isEmpty():
