@@ -11,11 +11,12 @@ none can come before a component's earliest. Signatures have BANDS x ROWS compon
 
 Search. Nodes that agree on all rows of a band share a bucket; a pair of likeness 0.8 misses all buckets with
 probability 0.000003. First the smallest node of each bucket is compared with the others, and components are found among
-the verified links. Buckets that still hold several components are open. In an open bucket, dealt anew into blocks of ``BLOCK``
-nodes in each of ``ROUNDS`` rounds, the signatures of all pairs across components are compared at once, and each node outside of the
-block's largest component is verified against the ``PARTNERS`` most alike ones of other components, in the next round against the
-next ones of those that are left, and so on. No bucket is emitted as pairs: rows grow with the nodes, also in a group of any size.
-Verification computes the exact index from the two bags.
+the verified links. Buckets that still hold several components are open; nodes that open buckets connect are a family. Each pair of
+a family across components is then verified exactly, but for those whose sizes exclude a link. A family of more than ``BLOCK`` nodes or
+``BLOCK_WORDS`` words is dealt into blocks by size and apart from its largest component, and each pair of blocks that may hold a link is one
+group of rows, visited once. The shared counts of all pairs of a group are computed in the task, and a spanning forest of
+the links leaves it: no bucket is emitted as pairs. Nothing is capped: the rows grow with the nodes times the blocks of their family, the
+comparisons with the square of a family (less its largest component).
 
 Scale. Texts are scanned twice and never shuffled: once for the signatures, once for the bags of those nodes that share a bucket
 (told by a bitmap of fixed size). Copies are pre-aggregated by a digest of their words. Components are found in tables.
@@ -30,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,13 @@ from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spac
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
-BLOCK, ROUNDS, PARTNERS, FILTER_BITS = 512, 4, 2, 1 << 26
+BLOCK, BLOCK_WORDS, FILTER_BITS = 512, 1 << 20, 1 << 26
 #: Bytes of text whose signatures are drawn at once.
 BYTES = 2 << 20
 #: Words a worker keeps with their hashes.
 MAX_WORDS = 250_000
-#: Signatures this far below LIKENESS are not verified: five standard errors.
-_SURE = LIKENESS - 5 * (LIKENESS * (1 - LIKENESS) / (BANDS * ROWS)) ** 0.5
+#: Shingles of more nodes of a group than this are counted by matrix products of so many columns.
+_OFTEN, _COLUMNS = 24, 4096
 
 _M = BANDS * ROWS
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -197,51 +197,135 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return two.mapInArrow(run, "a long, b long, likeness double")
 
 
-def _partners(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (block, node, component, size, signature) sorted by block: nodes and those of other components that come at ``place`` and after it by likeness."""
-
-    def pairs(nodes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
-        a, b = [nodes[:0]], [nodes[:0]]
-        names, sizes_of = np.unique(parts, return_counts=True)
-        asks = np.flatnonzero(parts != names[sizes_of.argmax()]) if sizes_of.max() > 1 else np.arange(len(nodes))
-        for at in range(0, len(asks) if len(nodes) > place else 0, 64):
-            some = asks[at : at + 64]
-            same = np.zeros((len(nodes[some]), len(nodes)), np.int32)
-            for k in range(_M):
-                same += signs[some, k, None] == signs[None, :, k]
-            ratio = np.minimum(sizes[some, None], sizes) >= LIKENESS * np.maximum(sizes[some, None], sizes)
-            same[(parts[some, None] == parts) | ~ratio | (same < _SURE * _M)] = -1
-            best = np.argsort(-same, axis=1, kind="stable")[:, place : place + PARTNERS]
-            i, j = np.nonzero(np.take_along_axis(same, best, 1) >= 0)
-            a.append(nodes[some][i])
-            b.append(nodes[best[i, j]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
+def _shared(bags: list[memoryview], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of bags and the occurrences that each two share; if there are two sides, of bags on different ones."""
+    n, lengths = len(bags), np.array([len(z) // 12 for z in bags])
+    shingle = np.concatenate([np.frombuffer(z, "<u8", k) for z, k in zip(bags, lengths, strict=True)])
+    count = np.concatenate([np.frombuffer(z, "<u4", k, k * 8) for z, k in zip(bags, lengths, strict=True)]).astype(np.int64)
+    owner = np.repeat(np.arange(n), lengths)
+    sizes = np.bincount(owner, count, n).astype(np.int64)
+    _, name, nodes = np.unique(shingle, return_inverse=True, return_counts=True)
+    some = nodes[name] > 1
+    owner, name, count = owner[some], name[some], count[some]
+    # The k-th occurrences of a shingle are one token, so that tokens in common are the smaller counts.
+    most = int(count.max(initial=1))
+    ends = np.cumsum(count)
+    token = np.repeat(name, count) * most + np.arange(int(count.sum())) - np.repeat(ends - count, count)
+    owner = np.repeat(owner, count)
+    order = np.argsort(token, kind="stable")
+    _, token, nodes = np.unique(token[order], return_inverse=True, return_counts=True)
+    owner, nodes = owner[order], nodes[token]
+    two = bool(side.any())
+    shared = np.zeros((n, n), np.int64)
+    rare = nodes <= _OFTEN
+    x, t = owner[rare], token[rare]
+    for k in range(1, min(_OFTEN, len(t))):
+        same = np.flatnonzero(t[k:] == t[:-k])
+        if not same.size:
+            break
+        i, j = x[same], x[same + k]
+        if two:
+            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        np.add.at(shared.reshape(-1), i * n + j, 1)
+    shared += shared.T
+    one, other = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(n), np.arange(n))
+    often, column = np.unique(token[~rare], return_inverse=True)
+    x = owner[~rare]
+    cuts = np.searchsorted(column, np.arange(0, len(often) + _COLUMNS, _COLUMNS))  # tokens are sorted
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        has = np.zeros((n, min(_COLUMNS, len(often) - k * _COLUMNS)), np.float32)
+        has[x[a:b], column[a:b] - k * _COLUMNS] = 1
+        found = (has[one] @ has[other].T).astype(np.int64)
+        shared[np.ix_(one, other)] += found
+        if two:
+            shared[np.ix_(other, one)] += found.T
+    return sizes, shared
+
+
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    a, b, new = [], [], np.ones(len(linked), bool)
+    for root in np.flatnonzero(linked.any(1)).tolist():
+        waiting = [root] if new[root] else []
+        new[root] = False
+        while waiting:
+            i = waiting.pop()
+            near = np.flatnonzero(linked[i] & new)
+            new[near] = False
+            a += [i] * len(near)
+            b += near.tolist()
+            waiting += near.tolist()
+    return a, b
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows (block, side, node, component, bag) sorted by block: a spanning forest of the links across components of each block."""
     held: list[pa.Table] = []
 
     def flush() -> pa.RecordBatch:
         table = pa.concat_tables(held)
         held.clear()
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, _M)
-        return pairs(*(table.column(c).to_numpy() for c in ("node", "component", "size")), signs)
+        side, nodes, parts = (table.column(c).to_numpy() for c in ("side", "node", "component"))
+        a, b = [], []
+        if (parts != parts[0]).any() and (not side.any() or not side.all()):
+            sizes, shared = _shared([memoryview(z.as_buffer()) for z in table.column("bag")], side)
+            linked = (shared / (sizes[:, None] + sizes - shared) >= LIKENESS) & (parts[:, None] != parts)
+            a, b = _forest(linked)
+        a, b = nodes[np.array(a, np.int64)], nodes[np.array(b, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     current = None
     for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        blocks = batch.column(0).dictionary_encode()
+        places = blocks.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
         for x, y in zip(cuts, cuts[1:], strict=False):
             if x == y:
                 continue
-            if held and blocks[x] != current:
+            name = batch.column(0)[x].as_py()
+            if held and name != current:
                 yield flush()
-            current = blocks[x]
+            current = name
             held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
     if held:
         yield flush()
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """(block, side, node, component) from (family, node, component, size): each two nodes of a family that may be linked meet in a block.
+
+    They do but for two of the family's largest component and, in families dealt by size, those whose sizes exclude a link. A block
+    is one group of nodes or two, told by ``side``.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_WORDS))
+    each = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    whole = each.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.sum("words").alias("words"))
+    whole = whole.select("family", "main", (blocks <= 1).alias("small"))
+    # Sizes of linked nodes differ by 1 / LIKENESS at most, so by one step of a wider scale; two steps for each size tell the largest component.
+    step = F.floor(F.log("size") / float(np.log(1.01 / LIKENESS)))
+    step = F.when(F.col("small"), F.lit(0)).otherwise(2 * step + (F.col("component") == F.col("main")).cast("long")).cast("long")
+    stepped = members.join(whole.hint("merge"), "family").select("family", "node", "component", "size", step.alias("step"))
+    layout = stepped.groupBy("family", "step").agg(F.count("*").alias("n"), F.sum("size").alias("words")).select("family", "step", blocks.cast("long").alias("blocks"))
+    layout = layout.groupBy("family").agg(F.collect_list(F.struct("step", "blocks")).alias("layout"))  # two for each size step
+    of_step = F.filter("layout", lambda e: e["step"] == F.col("step"))[0]["blocks"]
+    joined = stepped.join(layout.hint("merge"), "family").withColumn("code", F.call_function("shiftleft", F.col("step"), F.lit(32)) + F.pmod(F.xxhash64("node"), of_step))
+    meets = lambda e: (F.abs(F.floor(e["step"] / 2) - F.floor(F.col("step") / 2)) <= 1) & ((e["step"] % 2 == 0) | (F.col("step") % 2 == 0))
+    codes = lambda e: F.transform(F.sequence(F.lit(0).cast("long"), e["blocks"] - 1), lambda j: F.call_function("shiftleft", e["step"], F.lit(32)) + j)
+    pairs = joined.withColumn("other", F.explode(F.flatten(F.transform(F.filter("layout", meets), codes))))
+    name = F.concat_ws("-", "family", F.least("code", "other"), F.greatest("code", "other"))
+    return pairs.select(name.alias("block"), (F.col("code") > F.col("other")).cast("int").alias("side"), "node", "component")
+
+
+def _merged(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components of nodes, merged by the links (a, b)."""
+    if links.isEmpty():
+        return parts
+    between = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
+    merged = components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    salted = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return materialize(parts.join(salted, "component", "left").select("node", F.coalesce("into", "component").alias("component")), name)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, class_id, class_size, kept): a row for each input row; ``row`` is its ``monotonically_increasing_id``."""
     signed = materialize(_signed(docs, id_col, text_col), "signatures")
@@ -255,26 +339,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = materialize(shared.select("node").distinct(), "wanted")
     bags = materialize(_bags(docs, text_col, wanted), "bags")
     parts = materialize(wanted.select("node", F.col("node").alias("component")), "components")
-    signs = one.join(wanted, "node", "left_semi")
-    signs = materialize(signs, "wanted_signatures")
-    for round_ in range(ROUNDS + 1):
-        if round_ == 0:
-            pairs = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            placed = shared.select("band", "key", "node").join(parts, "node")
-            open_ = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y")
-            blocks = F.ceil(F.col("n") / BLOCK)
-            dealt = placed.join(open_.select("band", "key", "n").hint("merge"), ["band", "key"]).select("node", "component", F.xxhash64("band", "key", F.pmod(F.xxhash64("node", F.lit(round_)), blocks)).alias("block"))
-            rows = dealt.join(signs, "node").select("block", "node", "component", "size", "signature")
-            pairs = rows.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_partners, place=(round_ - 1) * PARTNERS), "a long, b long")
-        pairs = materialize(pairs.distinct(), f"pairs{round_}")
-        links = materialize(_verified(pairs, bags), f"links{round_}")
-        if links.isEmpty():
-            continue
-        between = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
-        merged = components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
-        salted = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        parts = materialize(parts.join(salted, "component", "left").select("node", F.coalesce("into", "component").alias("component")), f"components{round_}")
+    pairs = materialize(shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    parts = _merged(parts, materialize(_verified(pairs, bags), "links0"), "components0")
+    placed = shared.select("band", "key", "node").join(parts, "node")
+    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    edges = shared.filter("node <> leader").join(open_.select("band", "key").hint("merge"), ["band", "key"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    families = components(edges).select("node", F.col("component").alias("family"))
+    members = materialize(families.join(parts, "node").join(one.select("node", "size"), "node"), "families")
+    rows = _dealt(members).join(bags, "node").select("block", "side", "node", "component", "bag")
+    links = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked, "a long, b long")
+    parts = _merged(parts, materialize(links.distinct(), "links1"), "components1")
     classed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = classed.groupBy("component").agg(F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f"))
     whole = whole.select("component", "class_size", F.col("f.id").alias("class_id"), F.col("f.row").alias("keep"))

@@ -117,3 +117,22 @@ def test_components(spark):
 
 def test_empty(spark):
     assert nd.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_links_of_fresh_blocks_are_verified(spark, monkeypatch, block):
+    """A single true partner for each node, in families of many blocks whose other nodes are nearly as alike."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for _ in range(60):
+        half = list(base)
+        for at in rng.sample(range(0, 200, 5), 5):
+            half[at] = f"x{rng.random()}"
+        twin = list(half)
+        twin[rng.randrange(200)] = f"y{rng.random()}"
+        rows += [(len(rows), " ".join(half)), (len(rows) + 1, " ".join(twin))]
+    rng.shuffle(rows)
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.id), str(r.class_id), r.class_size) for r in got) == brute(rows)
