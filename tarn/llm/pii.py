@@ -6,8 +6,8 @@ words before it. Candidates are strings of an identifier's shape that the forms
 a dot, a number without its plus sign or with a wrong check digit), with the kinds that their shape allows.
 
 Scoring. A pattern is induced if ``MIN_SEEDS`` different seeds of a kind occur in it. A second scan counts how
-often each induced pattern occurs around any word at all, so that common words around an identifier are no
-evidence. Then patterns and candidates score each other for ``ROUNDS`` rounds: a pattern's confidence is the share of its
+often each induced pattern occurs around any word at all, or any words as many as a seed or candidate in it has, so that common
+words around an identifier are no evidence. Then patterns and candidates score each other for ``ROUNDS`` rounds: a pattern's confidence is the share of its
 occurrences that hold seeds or candidates, the latter by their scores, and a candidate's score is the
 chance that one of its patterns is right. Candidates in a pattern of at least ``MIN_CONFIDENCE`` are identifiers of its kind.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +126,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 # --- patterns -------------------------------------------------------------------------------------------------
 
+_CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -147,23 +149,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _patterns(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the two patterns of a span: of the ASCII white-space chunks around those that it touches."""
-    left = text[max(0, start - 400) : start]
-    left = left[: max((left.rfind(c) for c in " \t\n\r\f\v"), default=-1) + 1].split()[-2:] if left else []
-    stop = end
-    while stop < len(text) and text[stop] not in " \t\n\r\f\v":
-        stop += 1
-    right = text[stop : stop + 200].split(maxsplit=1)[:1]
-    h = [np.array([_word_hash(w)], np.uint64) for w in (*[""] * (2 - len(left)), *left, *(right or [""]))]
-    return [int(_around(h[1], h[2])[0]), int(_ahead(h[0], h[1])[0])]
+class _Chunks:
+    """The ASCII white-space chunks of a text."""
+
+    def __init__(self, text: str):
+        found = [m.span() for m in _CHUNK.finditer(text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in found], [b for _, b in found]
+        self.hashes: dict[int, int] = {}
+
+    def _hash(self, i: int) -> int:
+        if i not in self.hashes:
+            self.hashes[i] = _word_hash(self.text[self.starts[i] : self.ends[i]] if 0 <= i < len(self.starts) else "")
+        return self.hashes[i]
+
+    def patterns(self, start: int, end: int) -> tuple[int, list[int]]:
+        """How many chunks a span touches, and the hashes of its two patterns, of the whole chunks around those."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        h = [np.array([self._hash(k)], np.uint64) for k in (i - 2, i - 1, j)]
+        return j - i, [int(_around(h[1], h[2])[0]), int(_ahead(h[0], h[1])[0])]
 
 
 def _value_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.lower().encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_MENTION = "array<struct<start:long,end:long,kinds:int,value:long,patterns:array<long>>>"
+_MENTION = "array<struct<start:long,end:long,kinds:int,value:long,chunks:int,patterns:array<long>>>"
 _FOUND = f"__row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, seeds {_MENTION}, candidates {_MENTION}"
 
 
@@ -173,7 +183,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each input row with its seeds and candidates."""
-    struct = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kinds", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+    struct = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kinds", pa.int32()), ("value", pa.int64()), ("chunks", pa.int32()), ("patterns", pa.list_(pa.int64()))])
     fields = [pa.int64()] * 6 + [pa.string(), pa.list_(struct), pa.list_(struct)]
     names = ["__row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "seeds", "candidates"]
 
@@ -182,9 +192,15 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.to_pylist(), strict=True):
                 base = base_spans(text)
-                mention = lambda a, b, kinds, text=text: {"start": a, "end": b, "kinds": kinds, "value": _value_hash(text[a:b]), "patterns": _patterns(text, a, b)}
+                others = candidates(text, base)
+                chunks = _Chunks(text) if base or others else None
+
+                def mention(a: int, b: int, kinds: int, text: str = text, chunks: _Chunks | None = chunks) -> dict:
+                    n, patterns = chunks.patterns(a, b)
+                    return {"start": a, "end": b, "kinds": kinds, "value": _value_hash(text[a:b]), "chunks": n, "patterns": patterns}
+
                 counts = [sum(k == i for _, k, _ in base) for i in range(4)]
-                rows.append((row, doc_id, *counts, hashlib.sha256(written(base).encode()).hexdigest(), [mention(a, b, 1 << k) for a, k, b in base], [mention(*c) for c in candidates(text, base)]))
+                rows.append((row, doc_id, *counts, hashlib.sha256(written(base).encode()).hexdigest(), [mention(a, b, 1 << k) for a, k, b in base], [mention(*c) for c in others]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
@@ -192,14 +208,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _mentions(found: DataFrame, column: str) -> DataFrame:
-    """(row, start, end, kind, value, pattern): a row for each mention, kind and pattern."""
+    """(row, start, end, kind, value, chunks, pattern): a row for each mention, kind and pattern."""
     kinds = F.filter(F.array(*map(F.lit, range(4))), lambda k: F.col("m.kinds").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0)
-    each = found.select("__row", F.explode(column).alias("m")).select("__row", "m.start", "m.end", "m.value", "m.patterns", F.explode(kinds).alias("kind"))
-    return each.select("__row", "start", "end", "kind", "value", F.explode("patterns").alias("pattern"))
+    each = found.select("__row", F.explode(column).alias("m")).select("__row", "m.start", "m.end", "m.value", "m.chunks", "m.patterns", F.explode(kinds).alias("kind"))
+    return each.select("__row", "start", "end", "kind", "value", "chunks", F.explode("patterns").alias("pattern"))
 
 
-def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFrame:
-    """(pattern, total): how often each induced pattern occurs around any chunk."""
+def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame, lengths: list[int]) -> DataFrame:
+    """(pattern, total): how often each induced pattern occurs around any chunk, or any run of as many chunks as ``lengths`` lists."""
     spot = F.pmod("pattern", F.lit(FILTER_BITS))
     bits = induced.select((spot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")).alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 at most
@@ -228,8 +244,13 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame) -> DataFram
             before[1:] = np.where(texts_of[1:] == texts_of[:-1], h[:-1], nothing)
             after[:-1] = np.where(texts_of[1:] == texts_of[:-1], h[1:], nothing)
             second[2:] = np.where(texts_of[2:] == texts_of[:-2], h[:-2], nothing)
-            seen = np.concatenate([_around(before, after), _ahead(second, before)])
-            seen = seen[bits[seen & (FILTER_BITS - 1)]]
+            kept = []
+            for k in lengths:
+                within = np.flatnonzero(texts_of[: n - k + 1] == texts_of[k - 1 :]) if k <= n else np.zeros(0, np.int64)
+                seen = _around(before[within], after[within + k - 1])
+                kept.append(seen[bits[seen & (FILTER_BITS - 1)]])
+            seen = _ahead(second, before)
+            seen = np.concatenate([*kept, seen[bits[seen & (FILTER_BITS - 1)]]])
             patterns, counts = np.unique(seen, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(counts.astype(np.int64))], ["pattern", "n"])
 
@@ -246,7 +267,9 @@ def confident_patterns(docs: DataFrame, text_col: str, found: DataFrame) -> Data
     edges = materialize(edges, "edges")
     if edges.isEmpty():
         return None
-    induced = materialize(induced.join(_occurrences(docs, text_col, induced), "pattern"), "totals")
+    spans = _mentions(found, "seeds").union(_mentions(found, "candidates")).join(induced, ["kind", "pattern"], "left_semi")
+    lengths = sorted({1} | {r.chunks for r in spans.select("chunks").distinct().collect()})
+    induced = materialize(induced.join(_occurrences(docs, text_col, induced, lengths), "pattern"), "totals")
     scores = None
     for round_ in range(ROUNDS):
         held = edges.withColumn("score", F.lit(0.0)) if scores is None else edges.join(scores, ["kind", "value"])

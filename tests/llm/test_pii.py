@@ -55,5 +55,15 @@ def test_common_words_are_no_evidence(spark):
     assert rows[1000].spans == ""
 
 
+def test_patterns_around_identifiers_of_several_words(spark):
+    """One pair of words around spaced numbers, after words that vary; the same pair around other words is counted, too."""
+    rows = [(i, f"lead{i} dial +1 (017) 555-{i:04d} now end{i}") for i in range(20)] + [(100, "other dial 017 555 4242 now end")]
+    rows += [(200 + i, f"a{i} in +1 (018) 555-{i:04d} of b{i}") for i in range(20)] + [(300 + i, f"a{i} in word{i} and more of b{i}") for i in range(40)]
+    rows += [(400, "other in 018 555 4242 of it")]
+    spans = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[100] == "phone:11:23"
+    assert spans[400] == ""
+
+
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
