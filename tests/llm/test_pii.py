@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from tarn.llm import pii
@@ -65,5 +66,15 @@ def test_patterns_around_identifiers_of_several_words(spark):
     assert spans[400] == ""
 
 
+@pytest.mark.parametrize("n", [1, 150, 250, 500])
+def test_neighbours_are_whole_chunks(n):
+    """The patterns are of the same words as the second scan hashes, however long those are."""
+    second, first, after = "s" * n, "f" * n, "r" * n
+    text = f"{second} {first} 1.2.3.4 {after}"
+    h = [np.array([pii._word_hash(w)], np.uint64) for w in (second, first, after)]
+    at = text.index("1.2.3.4")
+    assert pii._Chunks(text).patterns(at, at + 7) == (1, [int(pii._around(h[1], h[2])[0]), int(pii._ahead(h[0], h[1])[0])])
+
+
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
