@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import discard, materialize, skew_join
 
-#: Parts into which the edges of each node are dealt in a join, and stars after which the search is given up (it halves long paths).
-SALTS, MAX_STARS = 8, 60
+#: Stars after which the search is given up (it halves long paths).
+MAX_STARS = 60
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, least): least is the smallest of u and its neighbours; edges are (u, v), distinct."""
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-    least = least.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return edges.withColumn("__salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(least.hint("merge"), ["u", "__salt"]).drop("__salt")
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, least) and the table to discard: least is the smallest of u and its neighbours; edges are (u, v), distinct."""
+    least = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("degree")), "least")
+    return skew_join(edges, least, ["u"], "degree", "v"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,10 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     pairs, before = materialize(pairs, "edges"), None
     for _ in range(MAX_STARS):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
-        down = _with_least(large)
+        joined, one = _with_least(both)
+        large = materialize(joined.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct(), "large")
+        down, two = _with_least(large)
         small = down.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = materialize(small.filter("u <> v").distinct(), "stars")
+        stars = materialize(small.filter("u <> v").distinct(), "stars")
+        discard(pairs, one, large, two)
+        pairs = stars
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             members = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

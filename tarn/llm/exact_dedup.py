@@ -8,14 +8,15 @@ only if their texts are equal: only whole blocks and integer pairs are ever comp
 Skew. The text crosses one shuffle, keyed by the block. A block with very many occurrences would meet
 in one task, so a first pass counts 64-bit block hashes (pre-aggregated, eight bytes a row) and blocks
 that are frequent enough get salted; there are at most ``MAX_HOT`` of them. The names that salted parts
-found are merged in a table with a row for each part. Pair levels handle integers only and join through
-a fixed salt.
+found are merged in a table with a row for each part. Pair levels handle integers only; pairs that are
+counted to be frequent are dealt out in the join with their names, all others cross it once.
 
 Edge cases. A null text counts as empty; empty texts are equal to each other. Null and repeated ids are
 allowed: of equal texts the row with the largest id stays (a null id is the smallest), and of repeated
 rows with that id exactly one. Columns other than id and text are neither read nor returned by
 ``exact_groups``; ``exact_dedup`` returns the input's columns, whatever their names. An empty table gives
-an empty result. The input must be a table scan or another plan whose rows keep their order.
+an empty result. Texts are never cut. An input whose rows might come in another order when read again (anything but
+a scan with projections and filters) is written to scratch first.
 """
 
 from __future__ import annotations
@@ -24,22 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.common import materialize, text_or_empty
+from tarn.llm.common import col, discard, fresh, materialize, settled, skew_join, text_or_empty
 
 #: Occurrences from which a block is salted, and the most blocks that can be (frequent ones come first by count).
 HOT_ROWS, MAX_HOT = 256, 4096
-#: Parts into which every integer pair is dealt.
-PAIR_SALTS = 16
 
 _ROW = "__row"
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
     """(row, id, sha, pos, last, block): one row for each block; an empty text has one empty block."""
     cut = docs.select(
         F.monotonically_increasing_id().alias(_ROW),
-        F.col(id_col).alias("id"),
-        text_or_empty(text_col).alias("text"),
+        "id",
+        text_or_empty("text").alias("text"),
     ).select(
         _ROW,
         "id",
@@ -51,9 +50,9 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
     return cut.select(_ROW, "id", "sha", (F.size("blocks") - 1).alias("last"), F.posexplode("blocks").alias("pos", "block"))
 
 
-def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+def _named_blocks(docs: DataFrame, block_chars: int) -> DataFrame:
     """(row, id, sha, last, pos, name): sorts the blocks once; equal blocks get the number of the first of them."""
-    blocks = _blocks(docs, id_col, text_col, block_chars).withColumn("h", F.xxhash64("block"))
+    blocks = _blocks(docs, block_chars).withColumn("h", F.xxhash64("block"))
     counts = blocks.groupBy("h").count().filter(F.col("count") >= HOT_ROWS)
     hot = counts.orderBy(F.desc("count"), "h").limit(MAX_HOT).withColumn("parts", F.ceil(F.col("count") / HOT_ROWS).cast("int")).drop("count")
     hot = docs.sparkSession.createDataFrame(hot.collect(), "h long, parts int")  # MAX_HOT rows at most
@@ -71,26 +70,20 @@ def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int)
     firsts = named.filter(F.col("hot_block").isNotNull()).select("hot_block", "local")
     whole = Window.partitionBy("hot_block")  # a row for each salted part
     merged = firsts.select("local", F.min("local").over(whole).alias("merged"))
-    return _join_back(named.drop("hot_block"), merged, ["local"], "left").select(
-        _ROW, "id", "sha", "last", "pos", F.coalesce("merged", "local").alias("name")
-    )
-
-
-def _join_back(rows: DataFrame, names: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join rows with one name for each key, each key dealt over ``PAIR_SALTS`` parts; names grow with the input and are never broadcast."""
-    salt = F.pmod(F.hash(_ROW), F.lit(PAIR_SALTS))
-    salts = F.array(*[F.lit(i) for i in range(PAIR_SALTS)])
-    return rows.withColumn("__salt", salt).join(names.withColumn("__salt", F.explode(salts)).hint("merge"), [*on, "__salt"], how).drop("__salt")
+    rows = materialize(named.drop("hot_block").join(merged.hint("merge"), "local", "left").select(_ROW, "id", "sha", "last", "pos", F.coalesce("merged", "local").alias("name")), "names")
+    discard(named)
+    return rows
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
     """(row, id, text_sha256, keep_id, group_size, kept): one row for each input row, dropped ones too.
 
-    ``row`` is the input row's ``monotonically_increasing_id``.
+    ``row`` is the input row's ``monotonically_increasing_id`` if the input is a scan.
     """
     if block_chars < 1:
         raise ValueError("block_chars must be at least 1")
-    named = materialize(_named_blocks(docs, id_col, text_col, block_chars), "names")
+    named = _named_blocks(settled(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "documents"), block_chars)
+    scratch = [named]
     longest = named.agg(F.max("last")).first()[0] or 0
     level, rows = 0, named.select(_ROW, "pos", "last", "name")
     done = rows.filter("last = 0").select(_ROW, F.lit(0).alias("level"), "name")
@@ -106,14 +99,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .select(_ROW, F.floor(F.col("last") / 2).alias("last"), F.col("pair").alias("pos"), "left", "right")
         )
         pairs = materialize(pairs.withColumn("occurrence", F.monotonically_increasing_id()), f"pairs{level}")
-        names = pairs.groupBy("left", "right").agg(F.min("occurrence").alias("name"))
-        rows = materialize(_join_back(pairs.drop("occurrence"), names, ["left", "right"]).select(_ROW, "pos", "last", "name"), f"level{level}")
+        names = materialize(pairs.groupBy("left", "right").agg(F.min("occurrence").alias("name"), F.count("*").alias("n")), f"pair_names{level}")
+        rows = materialize(skew_join(pairs.drop("occurrence"), names, ["left", "right"], "n", _ROW).select(_ROW, "pos", "last", "name"), f"level{level}")
+        discard(pairs, names)
+        scratch.append(rows)
         done = done.unionByName(rows.filter("last = 0").select(_ROW, F.lit(level).alias("level"), "name"))
         rows = rows.filter("last > 0")
     first = named.filter("pos = 0").select(_ROW, "id", "sha")
-    members = done.join(first.hint("merge"), _ROW)
-    groups = members.groupBy("level", "name").agg(F.max(F.struct("id", _ROW)).alias("keep"), F.count("*").alias("group_size"))
-    return _join_back(members, groups, ["level", "name"]).select(
+    members = materialize(done.join(first.hint("merge"), _ROW), "members")
+    discard(*scratch)
+    groups = members.groupBy("level", "name").agg(F.max(F.struct("id", _ROW)).alias("keep"), F.count("*").alias("group_size"), F.count("*").alias("n"))
+    return skew_join(members, materialize(groups, "groups"), ["level", "name"], "n", _ROW).select(
         F.col(_ROW).alias("row"),
         "id",
         F.col("sha").alias("text_sha256"),
@@ -125,5 +121,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    kept = exact_groups(docs, id_col, text_col, block_chars).filter("kept").select(F.col("row").alias(_ROW))
-    return docs.withColumn(_ROW, F.monotonically_increasing_id()).join(kept, _ROW, "left_semi").drop(_ROW)
+    docs = settled(docs, "documents")
+    row = fresh(docs, _ROW)
+    kept = exact_groups(docs, id_col, text_col, block_chars).filter("kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

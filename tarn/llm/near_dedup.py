@@ -19,12 +19,15 @@ the links leaves it: no bucket is emitted as pairs. Nothing is capped: the rows
 comparisons with the square of a family (less its largest component).
 
 Scale. Texts are scanned twice and never shuffled: once for the signatures, once for the bags of those nodes that share a bucket
-(told by a bitmap of fixed size). Copies are pre-aggregated by a digest of their words. Components are found in tables.
+(told by a bitmap of fixed size). Copies are pre-aggregated by a digest of their words. A bucket's smallest node sends its bag once
+for each ``LEADER_BLOCK`` of the others. Buckets, families, components and copies that are counted to be frequent are dealt out in
+joins. Components are found in tables.
 
 Edge cases. A null text counts as empty. A text of fewer than five words is one shingle; texts without words are equal to each other. Null
 and repeated ids are allowed; a class is named by its smallest id (null last), and of a class the row with that id, and
 of such rows exactly one, is kept. Texts are never cut. ``near_dedup`` returns the input's columns, whatever
-their names. An empty table gives an empty result. The input must be a table scan or another plan whose rows keep their order.
+their names. An empty table gives an empty result. An input whose rows might come in another order when read again (anything but
+a scan with projections and filters) is written to scratch first.
 """
 
 from __future__ import annotations
@@ -37,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import col, discard, fresh, materialize, settled, skew_join
 from tarn.llm.components import components
 from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
-BLOCK, BLOCK_WORDS, FILTER_BITS = 512, 1 << 20, 1 << 26
+BLOCK, BLOCK_WORDS, LEADER_BLOCK, FILTER_BITS = 512, 1 << 20, 256, 1 << 26
 #: Bytes of text whose signatures are drawn at once.
 BYTES = 2 << 20
 #: Words a worker keeps with their hashes.
@@ -100,7 +103,7 @@ class Bags:
         return [self.shingle[a:b].tobytes() + self.count[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
 
 
-def likeness(a: bytes, b: bytes) -> float:
+def likeness(a: bytes | memoryview, b: bytes | memoryview) -> float:
     """The weighted Jaccard index of two bags."""
     (x, p), (y, q) = ((np.frombuffer(z, "<u8", len(z) // 12), np.frombuffer(z, "<u4", len(z) // 12, len(z) // 12 * 8)) for z in (a, b))
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -147,8 +150,8 @@ def _cache() -> ChunkCache:
     return held_cache(("words",), lambda: ChunkCache(lambda new: map(_word, new), pa.uint64(), most=MAX_WORDS))
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, digest, size, signature): a row for each input row; signature is null without words."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """(row, id, digest, size, signature) of (id, text): a row for each input row; signature is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache()
@@ -158,11 +161,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [pa.array(bags.digests, pa.binary()), pa.array(bags.sizes, pa.int64()), pa.array([s.tobytes() if k else None for s, k in zip(signs, bags.sizes, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["row", "id", "digest", "size", "signature"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long"), F.col("text").alias("__text"))
     return rows.mapInArrow(run, "row long, id long, digest binary, size long, signature binary")
 
 
-def _bags(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, bag) for the rows in ``wanted`` (node); tells most others by a bitmap of FILTER_BITS bits."""
     spot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     words = wanted.select((spot / 8).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1), (spot % 8).cast("int")).alias("bit"))
@@ -179,22 +182,35 @@ def _bags(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             for piece, texts in small_batches([batch.filter(mask)], "__text", BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(Bags(texts, cache).of_each(), pa.binary())], ["node", "bag"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(text_col).alias("__text")).select("node", spot.alias("spot"), "__text")
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").alias("__text")).select("node", spot.alias("spot"), "__text")
     return rows.mapInArrow(run, "node long, bag binary").join(wanted, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bags are alike, with their likeness."""
-    one = pairs.select("a", "b").distinct().join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a")
-    two = one.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) whose bags are alike, of (a, b, n), where n is about how many partners a has.
+
+    The partners of a node are dealt into blocks; a block's rows are the bag of a and then those of its partners.
+    """
+    parts = F.ceil(F.col("n") / LEADER_BLOCK).cast("long")
+    dealt = pairs.select("a", "b", F.concat_ws("-", "a", parts, F.pmod(F.xxhash64("b"), parts)).alias("block"))
+    blocks = materialize(dealt.select("a", "block").distinct(), "leader_blocks")
+    counts = materialize(blocks.groupBy("a").agg(F.count("*").alias("n")), "leaders")
+    led = skew_join(blocks, bags.select(F.col("node").alias("a"), "bag"), ["a"], "n", "block", counts=counts)
+    others = dealt.join(bags.select(F.col("node").alias("b"), "bag"), "b")
+    rows = led.select("block", F.lit(None).cast("long").alias("b"), "a", "bag").union(others.select("block", "b", "a", "bag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = b""
         for batch in batches:
-            found = [likeness(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "likeness"])
-            yield out.filter(pa.array(np.array(found) >= LIKENESS))
+            out = []
+            for b, a, bag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b is None:
+                    leader = bag.as_py()
+                elif likeness(leader, bag.as_buffer()) >= LIKENESS:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long, likeness double")
+    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _shared(bags: list[memoryview], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,15 +316,16 @@ def _dealt(members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_WORDS))
     each = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     whole = each.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.sum("words").alias("words"))
-    whole = whole.select("family", "main", (blocks <= 1).alias("small"))
+    whole = whole.select("family", "main", "n", (blocks <= 1).alias("small"))
     # Sizes of linked nodes differ by 1 / LIKENESS at most, so by one step of a wider scale; two steps for each size tell the largest component.
     step = F.floor(F.log("size") / float(np.log(1.01 / LIKENESS)))
     step = F.when(F.col("small"), F.lit(0)).otherwise(2 * step + (F.col("component") == F.col("main")).cast("long")).cast("long")
-    stepped = members.join(whole.hint("merge"), "family").select("family", "node", "component", "size", step.alias("step"))
-    layout = stepped.groupBy("family", "step").agg(F.count("*").alias("n"), F.sum("size").alias("words")).select("family", "step", blocks.cast("long").alias("blocks"))
-    layout = layout.groupBy("family").agg(F.collect_list(F.struct("step", "blocks")).alias("layout"))  # two for each size step
+    stepped = skew_join(members, materialize(whole, "whole_families"), ["family"], "n", "node").select("family", "node", "component", "size", step.alias("step"))
+    stepped = materialize(stepped, "stepped")
+    layout = stepped.groupBy("family", "step").agg(F.count("*").alias("n"), F.sum("size").alias("words")).select("family", "step", "n", blocks.cast("long").alias("blocks"))
+    layout = layout.groupBy("family").agg(F.collect_list(F.struct("step", "blocks")).alias("layout"), F.sum("n").alias("n"))  # two for each size step
     of_step = F.filter("layout", lambda e: e["step"] == F.col("step"))[0]["blocks"]
-    joined = stepped.join(layout.hint("merge"), "family").withColumn("code", F.call_function("shiftleft", F.col("step"), F.lit(32)) + F.pmod(F.xxhash64("node"), of_step))
+    joined = skew_join(stepped, materialize(layout, "layouts"), ["family"], "n", "node").withColumn("code", F.call_function("shiftleft", F.col("step"), F.lit(32)) + F.pmod(F.xxhash64("node"), of_step))
     meets = lambda e: (F.abs(F.floor(e["step"] / 2) - F.floor(F.col("step") / 2)) <= 1) & ((e["step"] % 2 == 0) | (F.col("step") % 2 == 0))
     codes = lambda e: F.transform(F.sequence(F.lit(0).cast("long"), e["blocks"] - 1), lambda j: F.call_function("shiftleft", e["step"], F.lit(32)) + j)
     pairs = joined.withColumn("other", F.explode(F.flatten(F.transform(F.filter("layout", meets), codes))))
@@ -320,46 +337,56 @@ def _merged(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """The components of nodes, merged by the links (a, b)."""
     if links.isEmpty():
         return parts
-    between = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
-    merged = components(between.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    salted = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return materialize(parts.join(salted, "component", "left").select("node", F.coalesce("into", "component").alias("component")), name)
+    starts = materialize(links.groupBy("a").agg(F.count("*").alias("n")), "starts")
+    between = skew_join(links, parts.select(F.col("node").alias("a"), F.col("component").alias("p")), ["a"], "n", "b", counts=starts)
+    between = between.join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")).hint("merge"), "b")
+    merged = components(between.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    sizes = materialize(parts.groupBy("component").agg(F.count("*").alias("n")), "component_sizes")
+    out = skew_join(parts, merged, ["component"], "n", "node", "left", counts=sizes).select("node", F.coalesce("into", "component").alias("component"))
+    out = materialize(out, name)
+    discard(starts, sizes)
+    return out
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, class_id, class_size, kept): a row for each input row; ``row`` is its ``monotonically_increasing_id``."""
-    signed = materialize(_signed(docs, id_col, text_col), "signatures")
+    """(row, id, class_id, class_size, kept): a row for each input row; ``row`` is its ``monotonically_increasing_id`` if the input is a scan."""
+    docs = settled(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "documents")
+    signed = materialize(_signed(docs), "signatures")
     nodes = signed.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
     nodes = materialize(nodes.select("digest", "node", "copies", "first.id", "first.row"), "nodes")
     one = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter("signature is not null").select(F.col("row").alias("node"), "size", "signature")
     band = F.explode(F.array(*[F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), F.substring("signature", 2 * ROWS * j + 1, 2 * ROWS)).alias("key")) for j in range(BANDS)]))
     keyed = one.select("node", band.alias("k")).select("node", "k.band", "k.key")
-    buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(keyed.join(buckets.hint("merge"), ["band", "key"]), "buckets")
+    buckets = materialize(keyed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders_of_buckets")
+    shared = materialize(skew_join(keyed, buckets.withColumn("nodes", F.col("n")), ["band", "key"], "n", "node"), "buckets")
     wanted = materialize(shared.select("node").distinct(), "wanted")
-    bags = materialize(_bags(docs, text_col, wanted), "bags")
+    bags = materialize(_bags(docs, wanted), "bags")
     parts = materialize(wanted.select("node", F.col("node").alias("component")), "components")
-    pairs = materialize(shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = shared.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("nodes").alias("n"))
+    pairs = materialize(pairs, "pairs")
     parts = _merged(parts, materialize(_verified(pairs, bags), "links0"), "components0")
     placed = shared.select("band", "key", "node").join(parts, "node")
-    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    edges = shared.filter("node <> leader").join(open_.select("band", "key").hint("merge"), ["band", "key"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y").select("band", "key", "n")
+    edges = skew_join(shared.filter("node <> leader"), materialize(open_, "open_buckets"), ["band", "key"], "n", "node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     families = components(edges).select("node", F.col("component").alias("family"))
     members = materialize(families.join(parts, "node").join(one.select("node", "size"), "node"), "families")
+    discard(pairs, buckets, shared, wanted)
     rows = _dealt(members).join(bags, "node").select("block", "side", "node", "component", "bag")
     links = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked, "a long, b long")
     parts = _merged(parts, materialize(links.distinct(), "links1"), "components1")
-    classed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = classed.groupBy("component").agg(F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f"))
-    whole = whole.select("component", "class_size", F.col("f.id").alias("class_id"), F.col("f.row").alias("keep"))
-    named = classed.select("digest", "component").join(whole, "component").select("digest", "class_id", "class_size", "keep")
-    salts = 16
-    named = named.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = signed.select("row", "id", "digest").withColumn("__salt", F.pmod(F.hash("row"), F.lit(salts)))
-    return rows.join(named, ["digest", "__salt"]).select("row", "id", "class_id", "class_size", (F.col("row") == F.col("keep")).alias("kept"))
+    discard(bags, members)
+    classed = materialize(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    whole = classed.groupBy("component").agg(F.sum("copies").alias("class_size"), F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("f"))
+    whole = materialize(whole.select("component", "class_size", "n", F.col("f.id").alias("class_id"), F.col("f.row").alias("keep")), "whole_classes")
+    named = skew_join(classed.select("digest", "component", F.col("copies").alias("n_copies")), whole, ["component"], "n", "digest")
+    named = materialize(named.select("digest", "class_id", "class_size", "keep", "n_copies"), "named")
+    rows = signed.select("row", "id", "digest")
+    return skew_join(rows, named, ["digest"], "n_copies", "row").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("keep")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with the input's columns."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    docs = settled(docs, "documents")
+    row = fresh(docs, "__row")
+    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

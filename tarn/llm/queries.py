@@ -93,6 +93,22 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+#: All pairs of different texts that share a shingle, by their weighted Jaccard index, and what links reach.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS ws FROM documents),
+nodes AS (SELECT ws, min(doc_id) AS node, count(*) AS copies FROM words GROUP BY ws),
+bags AS (SELECT node, shingle, count(*) AS c FROM (SELECT node, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: ws[i : i + 4])) AS shingle FROM nodes WHERE len(ws) > 0) GROUP BY ALL),
+sizes AS (SELECT node, sum(c) AS size FROM bags GROUP BY node),
+sized AS (SELECT node, hash(shingle) AS h, shingle, c, size FROM bags JOIN sizes USING (node)),
+links AS (SELECT x.node AS a, y.node AS b FROM sized x JOIN sized y ON x.h = y.h AND x.shingle = y.shingle AND x.node < y.node AND x.size * 0.8 <= y.size AND y.size * 0.8 <= x.size
+  GROUP BY x.node, y.node HAVING CAST(sum(least(x.c, y.c)) AS DOUBLE) / CAST(any_value(x.size) + any_value(y.size) - sum(least(x.c, y.c)) AS DOUBLE) >= CAST(0.8 AS DOUBLE)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+classes AS (SELECT a AS node, min(b) AS class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM reach JOIN nodes ON nodes.node = b GROUP BY a)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM words JOIN nodes USING (ws) JOIN classes USING (node)
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.scratch_path(spark)
     token_files.write_ids(documents(spark, sf_dir), tokenizer_file(), out)
@@ -118,4 +134,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op6_chat_format": OP6_SQL,
+        "op9_near_dedup": OP9_SQL,
     }

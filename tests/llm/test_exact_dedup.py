@@ -1,5 +1,6 @@
 import hashlib
 
+from tarn.llm import common
 from tarn.llm import exact_dedup as ed
 
 ROWS = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b" * 9000), (6, "b" * 9000), (7, "b" * 8999 + "c"), (7, "x"), (7, "x"), (None, "x"), (None, "y"), (8, "😀é\n"), (9, "😀é\n")]
@@ -41,5 +42,21 @@ def test_hot_block_is_salted(spark, monkeypatch):
     assert got(ed.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_frequent_pairs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "same text of blocks") for i in range(40)] + [(100 + i, f"same text of own {i % 7}") for i in range(20)]
+    assert got(ed.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=2)) == brute(rows)
+
+
+def test_names_that_clash_and_rows_that_move(spark):
+    """Columns named as the operator's own are kept; an input that is dealt anew by each scan gives whole rows."""
+    names = ["doc_id", "text", "__row", "row", "keep.id", "level"]
+    rows = [(i, f"text {i % 50}", i, -i, f"k{i}", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, names)
+    for moved in (docs, docs.repartition(4)):
+        kept = ed.exact_dedup(moved)
+        assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(rows[550:])
+
+
 def test_empty_table(spark):
     assert ed.exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0

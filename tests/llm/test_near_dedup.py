@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tarn.llm import common
 from tarn.llm import near_dedup as nd
 from tarn.llm.components import components
 
@@ -70,6 +71,26 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert survivors.columns == docs.columns and survivors.count() == len(kept)
 
 
+def test_frequent_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(nd, "LEADER_BLOCK", 2)
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rows = corpus(4, 5) + [(2000 + i, "the same copy of all") for i in range(20)]
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.id), str(r.class_id), r.class_size) for r in got) == brute(rows)
+
+
+def test_rows_that_move_and_names_that_clash(spark):
+    """An input that is dealt anew by each scan gives whole rows; a very long text is one node."""
+    names = ["doc_id", "text", "__row", "row", "class.id"]
+    rows = [(i, t, i, -i, str(i)) for i, (_, t) in enumerate(corpus(3, 20))] + [(5000, "long text " * 200_000, 0, 0, "")]
+    want = sorted({int(c) for _, c, _ in brute([(r[0], r[1]) for r in rows])})
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame(rows, names).repartition(7)):
+        kept = nd.near_dedup(docs)
+        assert kept.columns == names and sorted(r.doc_id for r in kept.collect()) == want
+        assert all(tuple(r) == rows[r.doc_id if r.doc_id < 5000 else -1] for r in kept.collect())
+
+
 def test_signatures_are_unbiased():
     """Agreement over many seeds equals the weighted index."""
     rng = np.random.default_rng(5)
