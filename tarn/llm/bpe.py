@@ -12,7 +12,8 @@ Ids equal those of the tokenizers library for the same file, added tokens includ
 
 Edge cases. Null and empty texts have no ids and decode to the empty text. Texts are never cut; memory for a
 very long text is in proportion to it. Rows are independent: repeated rows and ties get equal results. Only
-the id and text columns are read. An empty table gives an empty result.
+the id and text columns are read, and those to keep. An empty table gives an empty result. A tokenizer file whose words
+reach across ASCII white space is refused.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
+from tarn.llm.common import col
+from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, small_batches, spaced
 
 WORD_END = "</w>"
 _NEVER = np.int64(1) << 40
@@ -254,8 +256,13 @@ def _new_cache(path: str) -> ChunkCache:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
-    """(id, the columns of ``keep``, n_tokens, ids array<int>, ids_sha256, decoded_sha256): a row for each input row."""
-    rows = docs.select(F.col(id_col).alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
+    """(id, the columns of ``keep``, n_tokens, ids array<int>, ids_sha256, decoded_sha256): a row for each input row.
+
+    A kept column with the name of another one gets an underscore.
+    """
+    check_words(path)
+    own = {"id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "__text"}
+    rows = docs.select(col(id_col).alias("id"), *[col(c).alias(f"{c}_" if c.lower() in own else c) for c in keep], col(text_col).alias("__text"))
     added = "n_tokens long, " + ("ids array<int>, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
     schema = StructType(rows.drop("__text").schema.fields + StructType.fromDDL(added).fields)
 
@@ -289,4 +296,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         bpe = load(path)
         return ids.map(lambda x: "" if x is None else bpe.decode(x))
 
-    return encoded.withColumn("decoded", decoded(F.col(ids_col)))
+    return encoded.withColumn("decoded", decoded(col(ids_col)))

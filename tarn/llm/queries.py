@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, chat_format, fingerprint, mixing, near_dedup, pii, quality, token_files, unigram
-from tarn.llm.common import documents
+from tarn.llm.common import documents, scratch_path
 from tarn.llm.exact_dedup import exact_groups
 
 
@@ -110,7 +110,7 @@ SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM words JOIN n
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_files.scratch_path(spark)
+    out = scratch_path(spark, "ids")
     token_files.write_ids(documents(spark, sf_dir), tokenizer_file(), out)
     return token_files.read_checksums(spark, out)
 

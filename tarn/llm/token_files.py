@@ -10,9 +10,9 @@ data), in ascending doc_id order within a shard and over shards, and a table ``r
 ids of all documents before the block. Spark writes them, so they may lie in any store that Spark reaches and a
 lost executor's files are written again. The end-of-document id closes each document.
 
-Plan. Documents are encoded once, into a scratch table. Its ids are counted per batch and summed over the
-vocabulary (which bounds what the driver gets). Shards are ranges of doc_id: their borders are percentiles
-taken from the ids alone, their offsets are sums over shards, and one shuffle deals the encoded documents.
+Plan. Documents are encoded once, into a scratch table that has each document's shard. Its ids are counted per batch and summed over the
+vocabulary (which bounds what the driver gets). Shards are ranges of doc_id: their borders are picked from the ids alone,
+their offsets are sums over shards (at most ``MAX_RANGES``), and one shuffle deals the encoded documents.
 
 Edge cases. Null and empty texts are a document of one id. Null doc_ids come first; rows that share a
 doc_id follow one another by their ids' bytes. Other columns are ignored, whatever their names. An empty
@@ -22,7 +22,6 @@ table makes empty files. An id that the counts have not seen can't be written (t
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,9 +31,9 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize, scratch_dir
+from tarn.llm.common import col, discard, materialize
 from tarn.llm.ranges import RANGE_ROWS, borders, range_of
-from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, small_batches, spaced
 
 #: Documents and ids a block holds at most (one document at least).
 BLOCK_DOCS, BLOCK_IDS = 64, 1 << 18
@@ -113,19 +112,22 @@ def id_width(path: str, end_id: int) -> str:
     return "<u2" if max(end_id, tokenizers.Tokenizer.from_file(path).get_vocab_size() - 1) < 1 << 16 else "<u4"
 
 
-def encode_raw(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, raw): ids with the end id as little-endian unsigned integers of ``id_width``."""
+def encode_raw(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", at: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, shard, n_tokens, raw): ids with the end id as little-endian unsigned integers of ``id_width``; shards lie between the borders ``at``."""
+    check_words(path)
     width = id_width(path, end_id)
     end, size = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
+    known = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if at is None else at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _library_cache(path, width)
         for batch, texts in small_batches(batches, "__text"):
             raw = [bytes(x) + end for x in Chunked(spaced(texts), cache).joined()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "raw"])
+            columns = [batch.column(0), pa.array(range_of(batch.column(0), known.value)), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "n_tokens", "raw"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, raw binary")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("__text"))
+    return rows.mapInArrow(run, "doc_id long, shard int, n_tokens long, raw binary")
 
 
 def _flat(column: pa.Array, width: str) -> np.ndarray:
@@ -155,19 +157,18 @@ def id_counts(encoded: DataFrame, width: str) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = RANGE_ROWS) -> None:
     """Encode ``docs`` with the tokenizer file at ``path`` and write the tables ``ids`` and ``ranks`` under ``out``."""
     width = id_width(path, end_id)
-    encoded = materialize(encode_raw(docs, path, end_id, id_col, text_col), "encoded")
+    at, _ = borders(docs, id_col, shard_docs)
+    encoded = materialize(encode_raw(docs, path, end_id, id_col, text_col, at), "encoded")
     counts = id_counts(encoded, width).orderBy(F.desc("n"), "id").select("id").collect()  # as many as the vocabulary has
     ids = np.array([r[0] for r in counts], np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
     spark = docs.sparkSession
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
-    at, _ = borders(encoded, "doc_id", shard_docs)
-    dealt = encoded.withColumn("shard", range_of("doc_id", at))
-    totals = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # MAX_RANGES at most
-    offsets, before = {}, 0
-    for shard, n in sorted(tuple(r) for r in totals):
-        offsets[shard], before = before, before + n
+    totals = encoded.groupBy("shard").agg(F.sum("n_tokens").alias("n")).toArrow()  # MAX_RANGES at most
+    sums = np.zeros(len(at) + 1, np.int64)
+    sums[totals.column("shard").to_numpy()] = totals.column("n").to_numpy()
+    offsets = spark.sparkContext.broadcast(np.cumsum(sums) - sums)
     known = spark.sparkContext.broadcast(rank_of)  # as many as the vocabulary has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +183,14 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
                     n += sizes[last]
                     last += 1
                 if s != shard:
-                    shard, start = s, offsets[s]
+                    shard, start = s, int(offsets.value[s])
                 out.append((s, start, doc_ids[first:last], sizes[first:last], *pack(known.value[flat[at : at + n]])))
                 start, at, first = start + n, at + n, last
             yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS.names, r, strict=True)) for r in out], _FIELDS)
 
-    ordered = dealt.select("shard", "doc_id", "n_tokens", "raw").repartitionById(len(at) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "raw")
+    ordered = encoded.select("shard", "doc_id", "n_tokens", "raw").repartitionById(len(at) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "raw")
     ordered.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(f"{out}/ids")
+    discard(encoded)
 
 
 def _read(spark: SparkSession, out: str, schema: str, finish: Callable[[list[np.ndarray]], pa.Array]) -> DataFrame:
@@ -218,6 +220,3 @@ def read_checksums(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; the checksum is of the ids as little-endian unsigned 32-bit integers."""
     return _read(spark, out, "long", lambda docs: pa.array([zlib.crc32(x) for x in docs], pa.int64())).withColumnRenamed("ids", "ids_crc32")
 
-
-def scratch_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/tarn-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"

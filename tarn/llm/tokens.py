@@ -9,11 +9,13 @@ fewest batches, so its memory is bounded for any number of words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tokenizers
 
 #: Encoded chunks a worker keeps; texts and bytes of text whose chunks are looked up together.
 MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 4096, 6 << 20
@@ -101,6 +103,16 @@ class Chunked:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
+@functools.cache
+def check_words(path: str) -> None:
+    """Raise unless a tokenizer file's words end at ASCII white space, so that chunks between it can be encoded alone."""
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    for text in ("a b", "a  b", "1\t2", "a\n\nb", " \x0ba\x0c.\r", "a. b, c", "it 's a  's"):
+        alone = [i for chunk in text.split() for i in tokenizer.encode(chunk, add_special_tokens=False).ids]
+        if tokenizer.encode(text, add_special_tokens=False).ids != alone:
+            raise ValueError(f"words of {path} reach across white space")
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = BYTES_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of a bounded size (one text at least) with the texts of ``column``; null texts are empty."""
     for batch in batches:

@@ -75,3 +75,10 @@ def test_cache_forgets():
         rows = [" ".join(f"w{k * 10 + j}" for j in range(10)) + " same", "", " x  yy "]
         assert Chunked(spaced(pa.array(rows)), cache).summed().tolist() == [sum(map(len, r.split())) for r in rows]
         assert len(cache.known) <= 70
+
+
+def test_kept_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (None, None, 8, "y")], "doc_id long, text string, id long, n_tokens string")
+    got = bpe.encode(docs, PATH, keep=("id", "n_tokens"))
+    assert got.columns == ["id", "id_", "n_tokens_", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.id_, r.n_tokens_, r.n_tokens) for r in got.collect()) == [(7, "x", 2), (8, "y", 0)]

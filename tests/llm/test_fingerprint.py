@@ -30,6 +30,37 @@ def test_against_brute_force(spark, monkeypatch, size):
     assert sorted(got) == sorted(want)
 
 
+def naive(text):
+    """The fingerprint by its definition, one run of characters at a time."""
+    exact, lanes = [0] * f.EXACT, [0] * f.LANES
+    k = 0x9E3779B97F4A7C15
+    for p in text.split("\n"):
+        d = hashlib.blake2b(p.encode(), digest_size=8 * f.EXACT).digest()
+        for i in range(f.EXACT):
+            exact[i] = (exact[i] + int.from_bytes(d[8 * i : 8 * i + 8], "little")) % 2**64
+    padded = "\n" * (f.WINDOW - 1) + ("\n" * (f.WINDOW - 1)).join(text.split("\n")) + "\n" * (f.WINDOW - 1)
+    for at in range(len(padded) - f.WINDOW + 1):
+        c = [ord(x) for x in padded[at : at + f.WINDOW]]
+        two = lambda i: c[i] * k + c[i + 1]
+        four = lambda i: two(i) * k**2 + two(i + 2)
+        h = ((four(0) * k**4 + four(4)) * k**4 + four(8)) % 2**64
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        lanes[(h >> 56) % f.LANES] += 1 if h >> 56 < f.LANES else -1
+    return b"".join(x.to_bytes(8, "little") for x in exact).hex() + b"".join((x % 2**32).to_bytes(4, "little") for x in lanes).hex()
+
+
+def test_equals_its_definition():
+    for text in ("", "a", "é😀 one\ntwo\n\n", "line of words\n" * 40, "".join(chr(97 + i * i % 23) for i in range(500))):
+        assert f.Fingerprint.of(text).hex() == naive(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "a line that is repeated\n"])
+def test_lanes_of_long_repeats_do_not_wrap(unit):
+    n = 100_000
+    assert f.Fingerprint.of(unit * n).likeness(f.Fingerprint.of(unit * (n * 4 // 3))) > 0.999
+    assert f.Fingerprint.of(unit * n).likeness(f.Fingerprint.of("quite another text " * n)) < 0.5
+
+
 def test_homomorphic():
     rng = random.Random(1)
     parts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 50))) for _ in range(8)]

@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tarn.llm import bpe, ranges
 from tarn.llm import token_files as tf
 
 PATH = importlib.import_module("public_tokenizers").path("word_bpe_49k.json")
@@ -49,3 +50,20 @@ def test_empty(spark, tmp_path):
     out = str(tmp_path / "ids")
     tf.write_ids(spark.createDataFrame([], "doc_id long, text string"), PATH, out)
     assert tf.read_checksums(spark, out).count() == 0
+
+
+def test_files_whose_words_cross_white_space_are_refused(spark, tmp_path):
+    path = importlib.import_module("public_tokenizers").path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        tf.write_ids(docs, path, str(tmp_path / "ids"))
+    with pytest.raises(ValueError):
+        bpe.digests(docs, path)
+
+
+def test_borders_are_even_and_of_the_table(spark):
+    ids = spark.range(0, 40_000).selectExpr("CASE WHEN id < 20000 THEN id ELSE id * 1000 END AS doc_id")
+    at, largest = ranges.borders(ids, "doc_id", 500)
+    assert largest == 39_999_000 and len(set(at.tolist())) == len(at) and 60 <= len(at) <= 100
+    place = np.searchsorted(at, [r.doc_id for r in ids.collect()])
+    assert np.bincount(place).max() <= 2000
