@@ -3,7 +3,8 @@
 Seeds. Four kinds of identifier have a fixed form (``email``, ``ip``, ``card`` with a Luhn digit, ``phone``); their matches
 are certain and always stay. Each also induces two lexical patterns: the words before and after it, and the two
 words before it. Candidates are strings of an identifier's shape that the forms don't take (an address without
-a dot, a number without its plus sign or with a wrong check digit), with the kinds that their shape allows.
+a dot, a number without its plus sign or with a wrong check digit), with the kinds that their shape allows. They lie between
+base spans; a run of more digits than any kind has is cut where it has separators.
 
 Scoring. A pattern is induced if ``MIN_SEEDS`` different seeds of a kind occur in it. A second scan counts how
 often each induced pattern occurs around any word at all, or any words as many as a seed or candidate in it has, so that common
@@ -13,7 +14,8 @@ chance that one of its patterns is right. Candidates in a pattern of at least ``
 
 Scale. Texts are scanned twice and never shuffled. Of the first scan only seeds and candidates are kept, with 64-bit
 hashes of their patterns and values. The second scan tests its word pairs against a bitmap of ``FILTER_BITS`` bits, which is all
-that is broadcast; what passes is summed per batch and joined exactly. Frequent patterns are pre-aggregated.
+that is broadcast; what passes is summed per batch and joined exactly. Frequent patterns are pre-aggregated, and patterns and values that
+are counted to be frequent are dealt out in joins.
 
 Edge cases. A null text counts as empty. Texts are scanned whole, in linear time. Repeated rows each count and get
 equal spans. A candidate that several kinds claim goes to the one of higher confidence, then the first as listed. A word beyond
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import col, materialize, skew_join
 from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,6 +46,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[ ().:/-]{0,2}[0-9]){6,}+")
+_DIGITS = re.compile(r"[0-9]+")
+_FOUR = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Digits of the longest kind.
+MAX_DIGITS = 19
 _NOT_IN_ADDRESS = frozenset(" \t\n\r\f\v@<>\"'(),;:")
 
 
@@ -89,39 +95,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _between(length: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a text that no base span covers."""
+    at = 0
+    for a, _, b in base:
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < length:
+        yield at, length
+
+
+def _number_bits(text: str) -> int:
+    digits = sum(map(str.isdigit, text))
+    return 2 * bool(_FOUR.fullmatch(text)) | 4 * (12 <= digits <= 19) | 8 * (7 <= digits <= 15)
+
+
+def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Number-shaped strings of a part; runs of more than MAX_DIGITS digits in pieces of whole digit groups."""
+    for m in _NUMBER.finditer(text, start, end):
+        a, b, digits = m.start(), m.start(), 0
+        for group in _DIGITS.finditer(text, m.start(), m.end()):
+            n = group.end() - group.start()
+            if digits and digits + n > MAX_DIGITS:
+                yield a, b, _number_bits(text[a:b])
+                digits = 0
+            if not digits:
+                a = group.start()
+            b, digits = group.end(), digits + n
+        yield a, b, _number_bits(text[a:b])
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, bits of the kinds its shape allows) of identifier-shaped strings beside the base spans."""
+    """(start, end, bits of the kinds its shape allows) of identifier-shaped strings between the base spans."""
     found = []
-    at = text.find("@")
-    while at >= 0:
-        a, b = at, at + 1
-        while a > 0 and text[a - 1] not in _NOT_IN_ADDRESS:
-            a -= 1
-        while b < len(text) and text[b] not in _NOT_IN_ADDRESS:
-            b += 1
-        while b > at + 1 and text[b - 1] in ".!?":
-            b -= 1
-        if a < at < b - 1:
-            found.append((a, b, 1))
-        at = text.find("@", b if b > at else at + 1)
-    for m in _NUMBER.finditer(text):
-        digits = sum(map(str.isdigit, m[0]))
-        bits = 2 * bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", m[0])) | 4 * (12 <= digits <= 19) | 8 * (7 <= digits <= 15)
-        if bits:
-            found.append((m.start(), m.end(), bits))
-    merged: list[list[int]] = []
-    for a, _, b in base:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out, i = [], 0
-    for a, b, bits in sorted(found):
-        while i < len(merged) and merged[i][1] <= a:
-            i += 1
-        if i == len(merged) or merged[i][0] >= b:
-            out.append((a, b, bits))
-    return out
+    for start, end in _between(len(text), base):
+        at = text.find("@", start, end)
+        while at >= 0:
+            a, b = at, at + 1
+            while a > start and text[a - 1] not in _NOT_IN_ADDRESS:
+                a -= 1
+            while b < end and text[b] not in _NOT_IN_ADDRESS:
+                b += 1
+            while b > at + 1 and text[b - 1] in ".!?":
+                b -= 1
+            if a < at < b - 1:
+                found.append((a, b, 1))
+            at = text.find("@", max(b, at + 1), end)
+        found += [x for x in _numbers(text, start, end) if x[2]]
+    return sorted(found)
 
 
 # --- patterns -------------------------------------------------------------------------------------------------
@@ -203,7 +225,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rows.append((row, doc_id, *counts, hashlib.sha256(written(base).encode()).hexdigest(), [mention(a, b, 1 << k) for a, k, b in base], [mention(*c) for c in others]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), col(id_col).cast("long").alias("doc_id"), col(text_col).alias("__text"))
     return rows.mapInArrow(run, _FOUND)
 
 
@@ -254,12 +276,12 @@ def _occurrences(docs: DataFrame, text_col: str, induced: DataFrame, lengths: li
             patterns, counts = np.unique(seen, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(counts.astype(np.int64))], ["pattern", "n"])
 
-    counted = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    counted = docs.select(col(text_col).alias("__text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return counted.join(induced.select("pattern").distinct(), "pattern", "left_semi")
 
 
-def confident_patterns(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame | None:
-    """(kind, pattern, confidence) of at least MIN_CONFIDENCE, or None if no pattern is induced or no candidate is in one."""
+def confident_patterns(docs: DataFrame, text_col: str, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(kind, pattern, confidence) of at least MIN_CONFIDENCE and (kind, pattern, mentions) of all with candidates; None without such."""
     seeds = _mentions(found, "seeds").groupBy("kind", "pattern", "value").agg(F.count("*").alias("n"))
     induced = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("positives")).filter(F.col("seeds") >= MIN_SEEDS)
     induced = materialize(induced.select("kind", "pattern", "positives"), "induced")
@@ -270,15 +292,18 @@ def confident_patterns(docs: DataFrame, text_col: str, found: DataFrame) -> Data
     spans = _mentions(found, "seeds").union(_mentions(found, "candidates")).join(induced, ["kind", "pattern"], "left_semi")
     lengths = sorted({1} | {r.chunks for r in spans.select("chunks").distinct().collect()})
     induced = materialize(induced.join(_occurrences(docs, text_col, induced, lengths), "pattern"), "totals")
+    in_pattern = materialize(edges.groupBy("kind", "pattern").agg(F.count("*").alias("edges"), F.sum("n").alias("mentions")), "in_pattern")
+    of_value = materialize(edges.groupBy("kind", "value").agg(F.count("*").alias("edges")), "of_value")
     scores = None
     for round_ in range(ROUNDS):
-        held = edges.withColumn("score", F.lit(0.0)) if scores is None else edges.join(scores, ["kind", "value"])
+        held = edges.withColumn("score", F.lit(0.0)) if scores is None else skew_join(edges, scores, ["kind", "value"], "edges", "pattern", counts=of_value)
         gained = held.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("gained"))
         confidence = F.least(F.lit(0.999), (F.col("positives") + F.coalesce("gained", F.lit(0.0))) / F.greatest("total", "positives"))
         patterns = materialize(induced.join(gained, ["kind", "pattern"], "left").select("kind", "pattern", confidence.alias("confidence")), f"patterns{round_}")
         missed = F.sum(F.log(1 - F.col("confidence")))
-        scores = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(missed)).alias("score"))
-    return patterns.filter(F.col("confidence") >= MIN_CONFIDENCE)
+        scores = skew_join(edges, patterns, ["kind", "pattern"], "edges", "value", counts=in_pattern.select("kind", "pattern", "edges"))
+        scores = scores.groupBy("kind", "value").agg((1 - F.exp(missed)).alias("score"))
+    return patterns.filter(F.col("confidence") >= MIN_CONFIDENCE), in_pattern.select("kind", "pattern", "mentions")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,14 +312,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The counts and the digest are of the base spans; ``spans`` has all of them, ``found`` those that patterns added,
     as arrays of (start, kind, end).
     """
-    found = materialize(scan(docs, id_col, text_col), "found")
+    found = materialize(scan(docs, id_col, text_col), "found")  # row numbers are fixed here
     span = "array<struct<start:long,kind:int,end:long>>"
     base = F.transform("seeds", lambda m: F.struct(m["start"].alias("start"), F.log2(m["kinds"].cast("double")).cast("int").alias("kind"), m["end"].alias("end")))
-    patterns = confident_patterns(docs, text_col, found)
-    if patterns is None:
+    learnt = confident_patterns(docs, text_col, found)
+    if learnt is None:
         rows = found.withColumn("found", F.array().cast(span))
     else:
-        hits = _mentions(found, "candidates").join(patterns, ["kind", "pattern"])
+        hits = skew_join(_mentions(found, "candidates"), learnt[0], ["kind", "pattern"], "mentions", "__row", counts=learnt[1])
         best = hits.groupBy("__row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
         added = best.groupBy("__row").agg(F.collect_list(F.struct("start", (-F.col("best.k")).cast("int").alias("kind"), "end")).alias("found"))  # of one text
         rows = found.join(added, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast(span)))
