@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pytest
+import zstandard
 
 from tarn.llm import quality as q
 
@@ -25,6 +27,39 @@ def test_held_out_accuracy(spark):
     assert by[999] == by[998]
 
 
+def test_scores_equal_their_definition(spark):
+    """Sizes of all windows under both dictionaries, plainly compressed, through the curve; also of a very long text and repeated rows."""
+    good, bad = corpus()
+    more = [(900, "long text of many words, " * 100_000), (901, "é" * 5000), (902, "same"), (902, "same")]
+    docs = spark.createDataFrame([*good, *bad, *more], "doc_id long, text string")
+    model = q.fit(docs, spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int"))
+    texts = dict([*good, *bad, *more])
+    for r in q.classify(docs, model, score_col="score").collect():
+        raw, size = texts[r.doc_id].encode(), {}
+        for name in ("bad", "good"):
+            made = zstandard.ZstdCompressionDict(getattr(model, name))
+            size[name] = 0
+            for at in range(0, len(raw), 1024):
+                frame = zstandard.ZstdCompressor(level=3, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + 1024])
+                size[name] += len(frame)
+        x = model.weights[0] + model.weights[1] * (size["bad"] - size["good"]) / len(raw)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-x)))
+
+
+def test_what_the_driver_gets_is_bounded(spark, monkeypatch):
+    good, bad = corpus()
+    windows = []
+    monkeypatch.setattr(q, "_dictionary", lambda w: windows.append(w) or b"".join(w)[:4096])
+    docs = spark.createDataFrame([(i, t * 2000) for i, t in good + bad], "doc_id long, text string")
+    q.fit(docs, spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int"))
+    assert len(windows) == 2 and all(len(w) <= q.DICTIONARY_ROWS * q.TEXT_WINDOWS and max(map(len, w)) <= q.WINDOW for w in windows)
+
+
+def test_a_taken_name_is_refused(spark):
+    with pytest.raises(ValueError):
+        q.classify(spark.createDataFrame([(1, "a", 0.5)], ["doc_id", "text", "__SCORE"]), q.QualityModel(b"", b"", (0.0, 0.0)))
+
+
 def test_held_out_rows_train_nothing(spark):
     good, bad = corpus()
     docs = spark.createDataFrame([*good, *bad], "doc_id long, text string")
