@@ -20,7 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.text import let
+
 START, END = "### ", "</turn>"
+#: Turns whose places are summed in one array.
+_RUN = 256
 #: Each control string as (regex with the inserted backslashes as group 1, head, tail as lookahead).
 _STUFFED = ((r"#(\\*)(?=## )", "#"), (r"<(\\*)(?=/turn>)", "<"))
 _ROLE = ((r":(\\*)(?= )", ":"),)
@@ -45,20 +49,29 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), escape(t["role"], role=True), F.lit(": "), t["body"], F.lit(END + "\n"))), "")
 
 
+def _starts(lengths: Column) -> Column:
+    """Where each of a row of strings begins: sums of the lengths before it. Sums of _RUN lengths come first, so that no array of all is copied for each."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(_RUN)), lambda i: F.slice(lengths, i + 1, F.lit(_RUN)))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n)
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    begun = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    of_runs = lambda r: F.aggregate(F.transform(r, total), begun(F.lit(0)), step, lambda a: a["out"])
+    each = lambda run, at: F.aggregate(run, begun(at), step, lambda a: a["out"])
+    return let(runs, lambda r: F.flatten(F.zip_with(r, of_runs(r), each)))
+
+
 def parse(formatted: Column) -> Column:
     """array<struct<role, text, start, stop>>: turns with unescaped texts and the place of the text as it stands (code points, stop exclusive)."""
     pieces = F.split(formatted, F.lit(START), -1)
     pieces = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
-    def step(a: Column, piece: Column) -> Column:
+    def turn(piece: Column, at: Column) -> Column:
         head = F.substring_index(piece, ": ", 1)
-        start = a["at"] + F.length(F.lit(START)) + F.length(head) + 2
+        start = at + len(START) + F.length(head) + 2
         body = F.substring_index(F.substring(piece, F.length(head) + 3, F.length(piece)), END, 1)
-        turn = F.struct(unescape(head, role=True).alias("role"), unescape(body).alias("text"), start.alias("start"), (start + F.length(body)).alias("stop"))
-        return F.struct((a["at"] + F.length(F.lit(START)) + F.length(piece)).alias("at"), F.concat(a["turns"], F.array(turn)).alias("turns"))
+        return F.struct(unescape(head, role=True).alias("role"), unescape(body).alias("text"), start.alias("start"), (start + F.length(body)).alias("stop"))
 
-    empty = F.array().cast("array<struct<role:string,text:string,start:int,stop:int>>")
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("turns")), step, lambda a: a["turns"])
+    return let(pieces, lambda p: F.zip_with(p, _starts(F.transform(p, lambda x: F.length(x) + len(START))), turn))
 
 
 def _plain(turns: Column) -> Column:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,12 @@ def test_plain_texts_stay_as_they_are(spark):
 
 def test_empty(spark):
     assert c.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_conversations_of_very_many_turns(spark):
+    n = 30_000
+    turns = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ### ', id) AS text")
+    begun = time.time()
+    r = c.format_conversations(turns).withColumn("loss", c.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert r.identical and len(r.turns) == n and r.loss == "".join(f"text ### {i}" for i in range(1, n, 2))
+    assert time.time() - begun < 60
