@@ -10,10 +10,12 @@ blocks in permuted order until the rest of its target is used up; of the block i
 draws documents in permuted order, to within half a document.
 
 Tree. The root holds each source's quota of block draws. A node splits its quotas between two children of
-equal capacity: going through its draws, each one goes left with probability (left places free) / (draws
-to come), which is the multivariate hypergeometric distribution without any floating point. The leaves are
+equal capacity, source by source: the draws of a source that go left have a hypergeometric distribution, given the
+places and draws that the sources before it have left over. Quotas of up to ``FEW_DRAWS`` are split draw by draw, each one going
+left with probability (left places free) / (draws to come); larger ones by inversion from the mode outwards, in steps of the order of the
+square root of the quota. A node keeps the sources that it has draws of. The leaves are
 output shards with exact quotas; the shards of a source take consecutive, disjoint runs of its permuted draws,
-and each shard is shuffled locally.
+and each shard is shuffled locally. A row for each source passes through one task (targets, root); documents, blocks and nodes never do.
 
 Edge cases. A null text or a text of white space has no words: such a document is drawn with its block and
 counts nothing. Null is a source of its own. Equal (id, text) rows share their draws. Without words all
@@ -22,17 +24,22 @@ targets are 0. An empty table gives an empty result. ``mix`` keeps the input's c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.common import materialize, text_or_empty
+from tarn.functions.text import let
+from tarn.llm.common import col, materialize, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 20240607
 #: Documents a block should hold, the most blocks of a source (they hold more documents beyond), and words a shard should hold.
 BLOCK_DOCS, MAX_BLOCKS, SHARD_WORDS = 256, 1 << 20, 4_000_000
+#: Draws of a source up to which they are split one by one.
+FEW_DRAWS = 512
 #: Rows up to which a table (of about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -45,7 +52,7 @@ def n_words(text: str | Column) -> Column:
 def _dealt(id_col: str, text_col: str) -> list[Column]:
     """Two independent hashes: the block a document falls into and its place in the block."""
     text_hash = F.xxhash64(text_or_empty(text_col))
-    return [F.xxhash64(F.lit(SEED + i), F.col(id_col), text_hash).alias(name) for i, name in enumerate(("__deal", "__place"))]
+    return [F.xxhash64(F.lit(SEED + i), col(id_col), text_hash).alias(name) for i, name in enumerate(("__deal", "__place"))]
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -76,42 +83,76 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _log_factorial(n: Column) -> Column:
+    """Of a long: a table of the first ten, Stirling's series beyond (its error is below 1e-10)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 10, F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)]), n.cast("int"))).otherwise(series)
+
+
+def _inverted(u: Column, quota: Column, places: Column, draws: Column) -> Column:
+    """How many of ``quota`` among ``draws`` fall into ``places``, for u uniform in [0, 1): outcomes are tried from the mode outwards."""
+    mode = F.floor((quota + 1).cast("double") * (places + 1) / (draws + 2)).cast("long")
+    spread = F.sqrt(quota.cast("double") * (draws - quota) * places * (draws - places) / (draws.cast("double") * draws * F.greatest(draws - 1, F.lit(1))))
+    given = F.struct(
+        u.alias("u"), quota.alias("q"), places.alias("p"), (draws - quota - places).alias("r"), draws.alias("d"), (F.ceil(10 * spread) + 16).cast("long").alias("steps"),
+        F.greatest(F.lit(0).cast("long"), quota + places - draws, F.least(mode, quota, places)).alias("m"),
+    )
+
+    def walk(g: Column) -> Column:
+        f = _log_factorial
+        q, p, r, d, m = (g[x] for x in "qprdm")
+        top = F.exp(f(q) - f(m) - f(q - m) + f(d - q) - f(p - m) - f(r + m) - f(d) + f(p) + f(d - p))
+
+        def step(a: Column, k: Column) -> Column:
+            x, y = m + k - 1, m - k + 1
+            up = a["up"] * ((q - x).cast("double") * (p - x)) / ((x + 1).cast("double") * (r + x + 1))
+            down = a["down"] * (y.cast("double") * (r + y)) / ((q - y + 1).cast("double") * (p - y + 1))
+            both = F.struct(up.alias("up"), down.alias("down"))
+            took = lambda b: F.when(a["took"].isNotNull(), a["took"]).when(a["rest"] < b["up"], m + k).when(a["rest"] < b["up"] + b["down"], m - k)
+            return let(both, lambda b: F.struct((a["rest"] - b["up"] - b["down"]).alias("rest"), b["up"].alias("up"), b["down"].alias("down"), took(b).alias("took")))
+
+        begun = let(top, lambda t: F.struct((g["u"] - t).alias("rest"), t.alias("up"), t.alias("down"), F.when(g["u"] < t, m).alias("took")))
+        return F.coalesce(F.aggregate(F.sequence(F.lit(1).cast("long"), g["steps"]), begun, step, lambda a: a["took"]), m)
+
+    return let(given, walk)
+
+
 def _split(nodes: DataFrame) -> DataFrame:
-    """(node, quotas) to its two children; quotas: draws of each source by rank."""
-    hit = lambda a, i, j: F.pmod(F.xxhash64(F.lit(SEED), F.col("node"), i, j), a["draws"]) < a["places"]
-    start = F.struct(F.lit(0).cast("long").alias("left"), F.floor(F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q) / 2).alias("places"), F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q).alias("draws"))
+    """(node, quotas array<struct<i, q>>) to its two children; quotas: draws of each source by rank."""
+    zero = F.lit(0).cast("long")
+    hash_ = lambda i, j: F.xxhash64(F.lit(SEED), F.col("node"), i, j)
+    total = F.aggregate(F.transform("quotas", lambda e: e["q"]), zero, lambda a, q: a + q)
+    start = let(total, lambda n: F.struct(zero.alias("left"), F.floor(n / 2).cast("long").alias("places"), n.alias("draws")))
 
     def draw(a: Column, i: Column, j: Column) -> Column:
-        took = hit(a, i, j).cast("long")
+        took = (F.pmod(hash_(i, j), a["draws"]) < a["places"]).cast("long")
         return F.struct((a["left"] + took).alias("left"), (a["places"] - took).alias("places"), (a["draws"] - 1).alias("draws"))
 
     def source(a: Column, entry: Column) -> Column:
-        begun = F.struct(F.lit(0).cast("long").alias("left"), a["state"]["places"].alias("places"), a["state"]["draws"].alias("draws"))
-        each = F.when(entry["q"] > 0, F.sequence(F.lit(1).cast("long"), entry["q"])).otherwise(F.array().cast("array<bigint>"))
-        state = F.aggregate(each, begun, lambda b, j: draw(b, entry["i"], j))
-        return F.struct(state.alias("state"), F.concat(a["out"], F.array(state["left"])).alias("out"))
-
-    numbered = F.transform("quotas", lambda q, i: F.struct(i.alias("i"), q.alias("q")))
-    left = F.aggregate(numbered, F.struct(start.alias("state"), F.array().cast("array<bigint>").alias("out")), source, lambda a: a["out"])
-    halves = nodes.withColumn("lefts", left)
-    return halves.select(
-        F.explode(
-            F.array(
-                F.struct((F.col("node") * 2).alias("node"), F.col("lefts").alias("quotas")),
-                F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("quotas", "lefts", lambda q, x: q - x).alias("quotas")),
-            )
-        ).alias("c")
-    ).select("c.node", "c.quotas")
+        state, q = a["state"], entry["q"]
+        begun = F.struct(zero.alias("left"), state["places"].alias("places"), state["draws"].alias("draws"))
+        one_by_one = F.aggregate(F.sequence(F.lit(1).cast("long"), q), begun, lambda b, j: draw(b, entry["i"], j), lambda b: b["left"])
+        u = F.call_function("shiftrightunsigned", hash_(entry["i"], zero), F.lit(11)).cast("double") * 2.0**-53
+        took = F.when(q <= FEW_DRAWS, one_by_one).otherwise(_inverted(u, q, state["places"], state["draws"]))
+        after = lambda x: F.struct(x.alias("left"), (state["places"] - x).alias("places"), (state["draws"] - q).alias("draws"))
+        return let(took, lambda x: F.struct(after(x).alias("state"), F.concat(a["out"], F.array(F.struct(entry["i"].alias("i"), x.alias("x"), (q - x).alias("y")))).alias("out")))
+
+    empty = F.array().cast("array<struct<i:int,x:bigint,y:bigint>>")
+    cut = F.aggregate("quotas", F.struct(start.alias("state"), empty.alias("out")), source, lambda a: a["out"])
+    side = lambda name: F.transform(F.filter("cut", lambda e: e[name] > 0), lambda e: F.struct(e["i"].alias("i"), e[name].alias("q")))
+    children = F.array(F.struct((F.col("node") * 2).alias("node"), side("x").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), side("y").alias("quotas")))
+    return nodes.select("node", cut.alias("cut")).select(F.explode(children).alias("c")).select("c.node", "c.quotas")
 
 
 def shard_quotas(quotas: DataFrame, levels: int) -> DataFrame:
-    """(shard, rank, quota) for 2**levels shards, from one row of (quotas array<long>)."""
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), "quotas")
+    """(shard, rank, quota) of quotas above 0 for 2**levels shards, from one row of (quotas array<struct<i:int, q:long>>)."""
+    nodes = quotas.select(F.lit(0).cast("long").alias("node"), F.filter("quotas", lambda e: e["q"] > 0).alias("quotas"))
     for level in range(levels):
         nodes = _split(nodes)
-        if level >= 7:
+        if level >= 5:
             nodes = nodes.repartition("node")  # a wide level is worth more than one task
-    return nodes.select(F.col("node").alias("shard"), F.posexplode("quotas").alias("rank", "quota"))
+    return nodes.select(F.col("node").alias("shard"), F.explode("quotas").alias("e")).select("shard", F.col("e.i").alias("rank"), F.col("e.q").alias("quota"))
 
 
 def mixing_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, max_repeat=MAX_REPEAT, shard_words=SHARD_WORDS):
@@ -121,7 +162,7 @@ def mixing_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, we
     a document of block b is drawn ``whole`` times, and once more if b < last_block or b = last_block and place <= last_place.
     draws: (rank, block, copies array<struct<pass, shard>>).
     """
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), *_dealt(id_col, text_col)), "sized")
+    sized = materialize(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), n_words(text_col).alias("size"), *_dealt(id_col, text_col)), "sized")
     sources = materialize(source_targets(sized, weights, max_repeat), "sources")
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeat), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -140,9 +181,9 @@ def mixing_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, we
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     levels = max(0, int(total // shard_words)).bit_length()
     in_all = sources.select("rank", (F.col("whole") * F.col("blocks") + F.col("needed")).alias("quota"))
-    root = in_all.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas"))  # a number for each source
+    root = in_all.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("i"), F.col("quota").alias("q")))).alias("quotas"))  # a number for each source
     shards = shard_quotas(root, levels)
-    runs = shards.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).filter("quota > 0")
+    runs = shards.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard")))
     each = runs.select("rank", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("draw"))
     each = each.join(_small(sources.select("rank", "blocks")), "rank").select("rank", "shard", F.floor(F.col("draw") / F.col("blocks")).alias("pass"), (F.col("draw") % F.col("blocks")).alias("block"))
     draws = each.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("copies"))  # max_repeat + 1 at most
@@ -166,8 +207,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: the input's columns, a row for each draw, dealt into shards (partitions) and shuffled within each."""
     _, sources, draws, shards = mixing_plan(docs, id_col, text_col, source_col, **options)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    keyed = docs.select(row, F.col(source_col).alias("__source"), *_dealt(id_col, text_col))
+    row = F.struct(*[col(c) for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, col(source_col).alias("__source"), *_dealt(id_col, text_col))
     plan = _small(sources.select(F.col("source").alias("__of"), "rank", "blocks", "whole", "last_block", "last_place"))
     keyed = keyed.join(plan, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("block", F.pmod("__deal", "blocks"))
     drawn = keyed.join(_small(draws), ["rank", "block"]).select("__row", "__place", F.explode(_copies()).alias("c"))
