@@ -44,6 +44,27 @@ def hits_to_metrics(cases: DataFrame, ranked: DataFrame, matches: DataFrame, ks:
     return rows.select(*by, F.explode(pairs).alias("m")).select(*by, "m.metric", "m.value")
 
 
+def candidate_coverage(lists: DataFrame, matches: DataFrame, limits: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """(case_id, list, limit, covered): distinct evidence among the first ``limit`` of each list and of their union in order of best rank.
+
+    lists: (case_id, key, method, rank); matches: (case_id, key, evidence), a row for each evidence that a result holds.
+    """
+    best = lists.groupBy("case_id", "key").agg(F.min("rank").alias("best"), F.min(F.struct("rank", "method"))["method"].alias("of"))
+    union = best.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("best", "of", "key"))).select("case_id", "key", F.lit("union").alias("method"), "rank")
+    every = lists.select("case_id", "key", "method", "rank").unionByName(union)
+    held = every.join(matches, ["case_id", "key"], "left").groupBy("case_id", "method")
+    counts = held.agg(*[F.count_distinct(F.when(F.col("rank") <= n, F.col("evidence"))).alias(str(n)) for n in limits])
+    pairs = F.array(*[F.struct(F.lit(n).alias("limit"), F.col(str(n)).alias("covered")) for n in limits])
+    return counts.select("case_id", F.col("method").alias("list"), F.explode(pairs).alias("p")).select("case_id", "list", "p.limit", "p.covered")
+
+
+def candidate_pool(cases: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """(case_id, candidate_pool_hit, candidate_pool_recall) of cases (case_id, n_evidence): whether any candidate (case_id, key) is relevant and the share of evidence that they hold."""
+    held = candidates.select("case_id", "key").distinct().join(matches, ["case_id", "key"]).groupBy("case_id").agg(F.count_distinct("evidence").alias("held"))
+    share = F.when(F.col("n_evidence") > 0, F.coalesce("held", F.lit(0)) / F.col("n_evidence")).otherwise(0.0)
+    return cases.join(held, "case_id", "left").select("case_id", (F.coalesce("held", F.lit(0)) > 0).cast("double").alias("candidate_pool_hit"), F.round(share, DIGITS).alias("candidate_pool_recall"))
+
+
 def summarize(results: DataFrame, dimensions: list[str]) -> DataFrame:
     """Mean of each metric by method, over all cases and for each value of each dimension: grouping sets in one pass."""
     sets = [["method", "metric"], *[["method", "metric", d] for d in dimensions]]

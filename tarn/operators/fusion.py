@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,23 +16,45 @@ def normalize_scores(lists: DataFrame) -> DataFrame:
     return lists.withColumn("normalized", F.when(best > 0, F.col("score") / best).otherwise(0.0))
 
 
-def merge_ranked(lists: DataFrame, methods: list[str]) -> DataFrame:
-    """A row for each query and key with ``<method>_score`` and ``<method>_rank``: a full outer merge in one aggregation."""
-    columns = [F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{m}_{c}") for m in methods for c in ("score", "rank")]
-    return lists.groupBy("query_id", "key").agg(*columns)
+def _place(methods: list[str] | None) -> Column:
+    """Which list, in order, a row is of; without an order, by name."""
+    return F.col("method") if methods is None else F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
 
 
-def linear_fusion(lists: DataFrame, weights: dict[str, float] = V.LINEAR_WEIGHTS, k: int = 5) -> DataFrame:
-    """(query_id, key, score, rank): weighted sum of normalised scores, 0 where a method lacks the key."""
+def _merged(lists: DataFrame, methods: list[str], attributes: tuple[str, ...] = (), scores: tuple[str, ...] = ("score", "rank")) -> list[Column]:
+    """Aggregates of a result over its lists: scores and ranks by method, and of each attribute the first that isn't empty, in list order."""
+    each = [F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{m}_{c}") for m in methods for c in scores]
+    first = lambda c: F.min(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct(_place(methods), F.col(c).alias("v"))))["v"].alias(c)
+    return [*each, *map(first, attributes)]
+
+
+def merge_ranked(lists: DataFrame, methods: list[str], attributes: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each query and key with ``<method>_score`` and ``<method>_rank``: a full outer merge in one aggregation.
+
+    Of each attribute the first list that has one gives it.
+    """
+    return lists.groupBy("query_id", "key").agg(*_merged(lists, methods, attributes))
+
+
+def linear_fusion(lists: DataFrame, weights: dict[str, float] = V.LINEAR_WEIGHTS, k: int = 5, methods: list[str] | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, key, score, rank): weighted sum of normalised scores, 0 where a method lacks the key.
+
+    With ``methods`` also the scores, ranks and normalised scores of each list, ``sources`` in list order, and the attributes.
+    """
     weight = F.coalesce(*[F.when(F.col("method") == m, F.lit(w)) for m, w in weights.items()], F.lit(0.0))
     total = F.round(F.sum(weight * F.col("normalized")), DIGITS)
-    return top_k(normalize_scores(lists).groupBy("query_id", "key").agg(total.alias("score")), k, ["query_id"], ["key"])
+    more = [_sources(methods), *_merged(lists, methods, attributes, ("score", "rank", "normalized"))] if methods else []
+    return top_k(normalize_scores(lists).groupBy("query_id", "key").agg(total.alias("score"), *more), k, ["query_id"], ["key"])
+
+
+def _sources(methods: list[str] | None) -> Column:
+    return F.transform(F.array_sort(F.collect_set(F.struct(_place(methods).alias("at"), "method"))), lambda s: s["method"]).alias("sources")
 
 
-def rrf_fusion(lists: DataFrame, rrf_k: int = V.RRF_K, k: int = 5) -> DataFrame:
-    """(query_id, key, score, sources, rank): sum of 1 / (rrf_k + rank); sources are the methods in list order."""
+def rrf_fusion(lists: DataFrame, methods: list[str] | None = None, rrf_k: int = V.RRF_K, k: int = 5, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, key, score, sources, <method>_score, <method>_rank, attributes, rank): sum of 1 / (rrf_k + rank); sources are in list order."""
     score = F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), DIGITS)
-    fused = lists.groupBy("query_id", "key").agg(score.alias("score"), F.array_sort(F.collect_set("method")).alias("sources"))
+    fused = lists.groupBy("query_id", "key").agg(score.alias("score"), _sources(methods), *_merged(lists, methods or [], attributes))
     return top_k(fused, k, ["query_id"], ["key"])
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions import fixed_values as V
 from tarn.functions import text as T
 from tarn.operators import evaluation as E
-from tarn.operators import fusion, retrieval
+from tarn.operators import fusion, hybrid, index, retrieval
 from tarn.operators.retrieval import DIGITS
 
 
@@ -51,14 +54,14 @@ _DOC_TEXT = {
 }
 
 
-def sql_bm25(mode: str, k: int, name: str) -> str:
+def sql_bm25(mode: str, k: int, name: str, docs: str = "documents", queries: str = "benchmark") -> str:
     return f"""
-{name}_tokens AS (SELECT doc_id, {sql_tokens(_DOC_TEXT[mode])} AS terms FROM documents),
+{name}_tokens AS (SELECT doc_id, {sql_tokens(_DOC_TEXT[mode])} AS terms FROM {docs}),
 {name}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(terms)) AS avgdl FROM {name}_tokens),
 {name}_tf AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM {name}_tokens) GROUP BY ALL),
 {name}_tf2 AS (SELECT doc_id, term, sum(tf) AS tf, any_value(length) AS length FROM {name}_tf GROUP BY doc_id, term),
 {name}_df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM {name}_tf2 GROUP BY term),
-{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
+{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_tokens("text")}) AS term FROM {queries}) GROUP BY ALL),
 {name}_s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {V.BM25_K1 + 1} / (tf + {V.BM25_K1} * (1 - {V.BM25_B} + {V.BM25_B} * length / avgdl))) * qtf), {DIGITS}) AS score
   FROM {name}_tf2 JOIN {name}_q USING (term) JOIN {name}_df USING (term) CROSS JOIN {name}_n GROUP BY query_id, doc_id),
 {name} AS (SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {name}_s WHERE score > 0) WHERE rank <= {k})"""
@@ -102,11 +105,14 @@ FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_token
 """
 
 
-def bm25_list(spark, sf_dir, k=5, mode="base"):
-    docs = _docs(spark, sf_dir)
+def document_text(mode: str) -> Column:
+    """What BM25 indexes of a document in a metadata mode."""
     meta = T.metadata_search_text({"summary": F.col("source"), "inferred.diagnosis_tags": F.col("lang")}, weighted=mode == "weighted")
-    text = F.col("text") if mode == "base" else T.document_text(F.col("lang"), F.col("source"), F.col("source"), F.col("text"), meta)
-    return retrieval.bm25(_queries(spark, sf_dir), docs, k, doc_text=text)
+    return F.col("text") if mode == "base" else T.document_text(F.col("lang"), F.col("source"), F.col("source"), F.col("text"), meta)
+
+
+def bm25_list(spark, sf_dir, k=5, mode="base"):
+    return retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), k, doc_text=document_text(mode))
 
 
 def keyword_list(spark, sf_dir, k=5):
@@ -174,10 +180,10 @@ LINEAR_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(CASE m
 
 
 def rrf(spark, sf_dir):
-    return fusion.rrf_fusion(ranked_lists(spark, sf_dir))
+    return fusion.rrf_fusion(ranked_lists(spark, sf_dir), ["bm25", "keyword"]).select("query_id", "key", "score", "sources", "rank")
 
 
-RRF_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(1.0::DOUBLE / ({V.RRF_K} + rank)), {DIGITS}) AS score, list_sort(list(method)) AS sources FROM lists GROUP BY query_id, key)
+RRF_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(1.0::DOUBLE / ({V.RRF_K} + rank)), {DIGITS}) AS score, list(method ORDER BY method) AS sources FROM lists GROUP BY query_id, key)
 {_TOP.format("fused")}"""
 
 
@@ -224,6 +230,146 @@ SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.key, y.key) AS k
 FROM (SELECT * FROM lists WHERE method = 'bm25') x FULL JOIN (SELECT * FROM lists WHERE method = 'keyword') y ON x.query_id = y.query_id AND x.key = y.key
 """
 
+# --- the pipeline ---------------------------------------------------------------------------------------------------
+
+
+def indexed(spark, sf_dir):
+    """BM25 by a stored index, written, read and searched."""
+    path = f"{tempfile.mkdtemp(prefix='tarn-index-') if spark.sparkContext.master.startswith('local') else spark.conf.get('spark.checkpoint.dir')}/bm25-{uuid.uuid4().hex}"
+    index.write_bm25_index(_docs(spark, sf_dir), path)
+    return index.read_bm25_index(spark, path).search(_queries(spark, sf_dir), 5)
+
+
+def _both(spark, sf_dir):
+    """Documents that have a vector; every twentieth is a query by text and vector."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    docs = _docs(spark, sf_dir).join(v, "doc_id")
+    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding", "label")
+    return docs, queries
+
+
+def _retrievers(docs: DataFrame) -> dict[str, hybrid.Retriever]:
+    """BM25 over the texts, whose results know their language as chapter, and vector search, whose results know their source as section."""
+    about = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("ch"), "lang").alias("chapter_id"), F.concat(F.lit("s"), "source").alias("section_id"))
+
+    def bm25(queries, k):
+        return retrieval.bm25(queries, docs, k).withColumnRenamed("doc_id", "key").join(about.drop("section_id"), "key")
+
+    def embedding(queries, k):
+        found = retrieval.vector_search(queries, docs.withColumnRenamed("doc_id", "vec_id"), k)
+        return found.withColumnRenamed("vec_id", "key").join(about.drop("chapter_id"), "key")
+
+    return {"bm25": bm25, "embedding": embedding}
+
+
+def _flat(results: DataFrame) -> DataFrame:
+    gaps = {c: 0 for c in ("bm25_score", "bm25_rank", "embedding_score", "embedding_rank")} | {c: "" for c in ("chapter_id", "section_id", "chapter_number", "section_number")}
+    return results.withColumn("sources", F.array_join("sources", ",")).fillna(gaps).drop("summary")
+
+
+def hybrid_topk(spark, sf_dir):
+    docs, queries = _both(spark, sf_dir)
+    return _flat(hybrid.retrieve(_retrievers(docs), queries, "hybrid", 5))
+
+
+def hybrid_rerank(spark, sf_dir):
+    """Candidates are scored by a stand-in, how close the lengths of query and document are."""
+    docs, queries = _both(spark, sf_dir)
+
+    def score(candidates):
+        pairs = candidates.join(queries.select("query_id", F.length("query").alias("a")), "query_id").join(docs.select(F.col("doc_id").alias("key"), F.length("text").alias("b")), "key")
+        return pairs.withColumn("rerank_score", F.round(1 / (1.0 + F.abs(F.col("a") - F.col("b"))), DIGITS)).drop("a", "b")
+
+    return hybrid.retrieve(_retrievers(docs), queries, "hybrid_rerank", 5, score=score).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
+
+
+def hybrid_linear(spark, sf_dir):
+    docs, queries = _both(spark, sf_dir)
+    return hybrid.linear(_retrievers(docs), queries, 5).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
+
+
+def observed(spark, sf_dir):
+    docs, queries = _both(spark, sf_dir)
+    seen = hybrid.observation(hybrid.retrieve(_retrievers(docs), queries, "hybrid", 5))
+    return seen.select("query_id", "status", "chunk_count", "top_score", "top_embedding_score", F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["retrieval_method"], F.coalesce(c["keyword_rank"], F.lit(0)).cast("string"))), ",").alias("chunks"))
+
+
+def _case_lists(spark, sf_dir, k=50):
+    """Lists of both retrievers; a result of the query's label holds its language as evidence."""
+    docs, queries = _both(spark, sf_dir)
+    lists = hybrid.ranked_lists(_retrievers(docs), queries, k).withColumnRenamed("query_id", "case_id")
+    label = queries.select(F.col("query_id").alias("case_id"), "label")
+    matches = label.join(docs.select("label", F.col("doc_id").alias("key"), F.col("lang").alias("evidence")), "label").drop("label")
+    cases = matches.groupBy("case_id").agg(F.count_distinct("evidence").cast("int").alias("n_evidence"))
+    return lists, matches, cases
+
+
+def candidate_coverage(spark, sf_dir):
+    lists, matches, _ = _case_lists(spark, sf_dir)
+    return E.candidate_coverage(lists, matches)
+
+
+def candidate_pool(spark, sf_dir):
+    lists, matches, cases = _case_lists(spark, sf_dir, 3)
+    return E.candidate_pool(cases, lists, matches)
+
+
+def multi_metrics(spark, sf_dir):
+    """Metrics of vector search with several evidences a case."""
+    lists, matches, cases = _case_lists(spark, sf_dir, 10)
+    ranked = lists.filter("method = 'embedding'").select("case_id", "key", "rank")
+    return E.hits_to_metrics(cases, ranked.select("case_id", "rank"), ranked.join(matches, ["case_id", "key"]).select("case_id", "rank", "evidence"))
+
+
+def _hybrid_sql(k: int) -> str:
+    """Lists of k of both retrievers."""
+    return f"""hdocs AS (SELECT d.doc_id, d.text, d.lang, d.source, e.embedding::DOUBLE[] AS x, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+hq AS (SELECT doc_id AS item_id, text, x, label, lang FROM hdocs WHERE doc_id % 20 = 0),
+{sql_bm25("base", k, "hb", "hdocs", "hq")},
+hv AS (SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT hq.item_id AS query_id, doc_id, round(list_dot_product(hq.x, d.x), {DIGITS}) AS score FROM hq, hdocs d)) WHERE rank <= {k}),
+merged AS (SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.doc_id, v.doc_id) AS key, b.score AS bs, b.rank AS br, v.score AS vs, v.rank AS vr,
+  CASE WHEN br IS NULL THEN 'embedding' WHEN vr IS NULL THEN 'bm25' ELSE 'bm25,embedding' END AS sources FROM hb b FULL JOIN hv v ON b.query_id = v.query_id AND b.doc_id = v.doc_id)"""
+
+
+_RRF = f"rrf AS (SELECT *, round(coalesce(1.0::DOUBLE / ({V.RRF_K} + br), 0) + coalesce(1.0::DOUBLE / ({V.RRF_K} + vr), 0), {DIGITS}) AS score FROM merged)"
+_BY_SCORE = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank"
+HYBRID_SQL = f"""WITH {_hybrid_sql(100)}, {_RRF}, r AS (SELECT *, {_BY_SCORE} FROM rrf)
+SELECT query_id, key, rank, r.score, sources, CASE WHEN br IS NULL THEN 'embedding' WHEN vr IS NULL THEN 'keyword' ELSE 'hybrid_rrf' END AS retrieval_method,
+  coalesce(bs, 0) AS bm25_score, coalesce(br, 0) AS bm25_rank, coalesce(vs, 0) AS embedding_score, coalesce(vr, 0) AS embedding_rank,
+  CASE WHEN br IS NULL THEN '' ELSE 'ch' || lang END AS chapter_id, CASE WHEN vr IS NULL THEN '' ELSE 's' || source END AS section_id,
+  CASE WHEN br IS NULL THEN '' ELSE lang END AS chapter_number, CASE WHEN vr IS NULL THEN '' ELSE source END AS section_number
+FROM r JOIN documents ON doc_id = key WHERE rank <= 5"""
+HYBRID_RERANK_SQL = f"""WITH {_hybrid_sql(100)}, {_RRF}, r AS (SELECT *, {_BY_SCORE} FROM rrf),
+s AS (SELECT r.query_id, key, sources, round(1 / (1.0::DOUBLE + abs(length(q.text) - length(d.text))), {DIGITS}) AS score FROM r JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = key WHERE rank <= 25)
+SELECT query_id, key, rank, score, 'hybrid_rerank' AS retrieval_method, sources FROM (SELECT *, {_BY_SCORE} FROM s) WHERE rank <= 5"""
+HYBRID_LINEAR_SQL = f"""WITH {_hybrid_sql(25)}, n AS (SELECT *, max(bs) OVER (PARTITION BY query_id) AS mb, max(vs) OVER (PARTITION BY query_id) AS mv FROM merged),
+l AS (SELECT *, round(coalesce(CASE WHEN mb > 0 THEN 0.15 * (bs / mb) END, 0) + coalesce(CASE WHEN mv > 0 THEN 0.85 * (vs / mv) END, 0), {DIGITS}) AS score FROM n)
+SELECT query_id, key, rank, score, CASE WHEN br IS NULL THEN 'embedding' WHEN vr IS NULL THEN 'keyword' ELSE 'hybrid' END AS retrieval_method, sources FROM (SELECT *, {_BY_SCORE} FROM l) WHERE rank <= 5"""
+OBSERVED_SQL = f"""WITH {_hybrid_sql(100)}, {_RRF}, r AS (SELECT *, {_BY_SCORE} FROM rrf)
+SELECT query_id, 'observation' AS status, count(*) AS chunk_count, max(score) AS top_score, max(coalesce(vs, 0)) AS top_embedding_score,
+  string_agg(rank || ':' || CASE WHEN br IS NULL THEN 'embedding' WHEN vr IS NULL THEN 'keyword' ELSE 'hybrid_rrf' END || ':' || coalesce(br, 0), ',' ORDER BY rank) AS chunks FROM r WHERE rank <= 5 GROUP BY query_id"""
+
+
+def _case_sql(k: int) -> str:
+    return f"""{_hybrid_sql(k)}, listed AS (SELECT query_id, key, 'bm25' AS method, br AS rank FROM merged WHERE br IS NOT NULL UNION ALL SELECT query_id, key, 'embedding', vr FROM merged WHERE vr IS NOT NULL),
+held AS (SELECT item_id AS query_id, d.doc_id AS key, d.lang AS evidence FROM hq JOIN hdocs d ON d.label = hq.label)"""
+
+
+COVERAGE_SQL = f"""WITH {_case_sql(50)}, best AS (SELECT query_id, key, min(rank) AS best, arg_min(method, rank * 2 + (method = 'embedding')::INT) AS of FROM listed GROUP BY ALL),
+every AS (SELECT * FROM listed UNION ALL SELECT query_id, key, 'union', row_number() OVER (PARTITION BY query_id ORDER BY best, of, key) FROM best)
+SELECT query_id AS case_id, method AS list, CAST(k AS INTEGER) AS "limit", count(DISTINCT evidence) FILTER (rank <= k) AS covered FROM every LEFT JOIN held USING (query_id, key), (SELECT unnest([20, 50]) AS k) GROUP BY query_id, method, k"""
+POOL_SQL = f"""WITH {_case_sql(3)}, n AS (SELECT query_id, count(DISTINCT evidence) AS n FROM held GROUP BY 1), c AS (SELECT query_id, count(DISTINCT evidence) AS c FROM listed JOIN held USING (query_id, key) GROUP BY 1)
+SELECT query_id AS case_id, CAST(coalesce(c, 0) > 0 AS DOUBLE) AS candidate_pool_hit, round(coalesce(c, 0) / n, {DIGITS}) AS candidate_pool_recall FROM n LEFT JOIN c USING (query_id)"""
+MULTI_SQL = f"""WITH {_case_sql(10)}, n AS (SELECT query_id, count(DISTINCT evidence) AS n FROM held GROUP BY 1), v AS (SELECT * FROM listed WHERE method = 'embedding'),
+f AS (SELECT query_id, evidence, min(rank) AS rank FROM v JOIN held USING (query_id, key) GROUP BY ALL), rel AS (SELECT DISTINCT query_id, rank FROM v JOIN held USING (query_id, key)), ks AS (SELECT unnest([1, 3, 5]) AS k),
+e AS (SELECT query_id, k, n, (SELECT count(*) FROM rel WHERE rel.query_id = n.query_id AND rank <= k) AS hits, (SELECT count(*) FROM f WHERE f.query_id = n.query_id AND rank <= k) AS covered,
+  (SELECT coalesce(sum(1 / log2(r + 1.0::DOUBLE)), 0) FROM (SELECT DISTINCT rank AS r FROM f WHERE f.query_id = n.query_id AND rank <= k)) AS dcg,
+  list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS idcg, (SELECT min(rank) FROM rel WHERE rel.query_id = n.query_id) AS first, (SELECT max(rank) FROM v WHERE v.query_id = n.query_id) AS returned FROM n, ks)
+SELECT query_id AS case_id, 'hit@' || k AS metric, CAST(hits > 0 AS DOUBLE) AS value FROM e UNION ALL SELECT query_id, 'precision@' || k, round(hits / k, {DIGITS}) FROM e UNION ALL SELECT query_id, 'recall@' || k, round(covered / n, {DIGITS}) FROM e
+UNION ALL SELECT query_id, 'recall_ref@' || k, CASE WHEN returned >= k THEN round(covered / n, {DIGITS}) ELSE 0 END FROM e UNION ALL SELECT query_id, 'ndcg@' || k, round(dcg / idcg, {DIGITS}) FROM e
+UNION ALL SELECT query_id, 'mrr', round(coalesce(1.0::DOUBLE / first, 0), {DIGITS}) FROM e WHERE k = 1 UNION ALL SELECT query_id, 'mrr@5', round(CASE WHEN first <= 5 THEN 1.0::DOUBLE / first ELSE 0 END, {DIGITS}) FROM e WHERE k = 1"""
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
@@ -351,6 +497,14 @@ QUERIES = {
     "two_stage_topk": (two_stage, TWO_STAGE_SQL),
     "candidate_union": (union_candidates, UNION_SQL),
     "candidate_overlap": (overlap, OVERLAP_SQL),
+    "bm25_index_topk": (indexed, _list_sql(sql_bm25("base", 5, "b"), "b", "query_id, doc_id, score, rank")),
+    "hybrid_topk": (hybrid_topk, HYBRID_SQL),
+    "hybrid_rerank_topk": (hybrid_rerank, HYBRID_RERANK_SQL),
+    "hybrid_linear_topk": (hybrid_linear, HYBRID_LINEAR_SQL),
+    "retrieval_observation": (observed, OBSERVED_SQL),
+    "candidate_coverage": (candidate_coverage, COVERAGE_SQL),
+    "candidate_pool": (candidate_pool, POOL_SQL),
+    "retrieval_metrics_multi": (multi_metrics, MULTI_SQL),
     "rank_change": (rank_changes, RANK_CHANGE_SQL),
     "retrieval_metrics": (vector_metrics, f"WITH {_METRICS} SELECT case_id, metric, value FROM results"),
     "metrics_grouping_sets": (metric_summary, SUMMARY_SQL),

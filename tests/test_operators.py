@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.operators import chunking as C
 from tarn.operators import corpus_qa as Q
 from tarn.operators import evaluation as E
-from tarn.operators import fusion, reports, retrieval, runs
+from tarn.operators import fusion, hybrid, index, reports, retrieval, runs
 
 
 def test_bm25_by_hand(spark):
@@ -121,3 +122,59 @@ def test_runs(spark):
     assert [(r.run_id, r.step, r.parent_run) for r in runs.branch(events, "a", 1, "c").collect()] == [("c", 1, "a")]
     step = lambda n, valid, passed, rev: spark.range(1).select(runs.next_node(F.lit(n), F.lit(valid), F.lit(passed), F.lit(rev))).first()[0]
     assert step("understanding", False, None, 0) is None and step("validation", True, False, 1) == "generation" and step("validation", True, False, 2) == "persistence"
+
+
+def _retriever(spark, rows):
+    made = spark.createDataFrame(rows, "query_id int, key string, score double, rank int, chapter_id string, summary string")
+    return lambda queries, k: made.filter(F.col("rank") <= k)
+
+
+def test_pipeline_modes(spark):
+    bm25 = _retriever(spark, [(1, "a", 2.0, 1, "ch03", ""), (1, "b", 1.0, 2, None, None)])
+    dense = _retriever(spark, [(1, "b", 0.9, 1, "ch07", "said"), (1, "c", 0.8, 2, "", None)])
+    both, queries = {"embedding": dense, "bm25": bm25}, spark.range(1)
+    got = {r.key: r for r in hybrid.retrieve(both, queries, final_k=5).collect()}
+    assert got["b"].sources == ["embedding", "bm25"] and got["b"].retrieval_method == "hybrid_rrf" and got["b"]["rank"] == 1
+    assert (got["a"].retrieval_method, got["a"].chapter_number, got["a"].bm25_rank, got["a"].embedding_rank) == ("keyword", "03", 1, None)
+    assert got["b"].chapter_id == "ch07" and got["b"].summary == "said" and got["c"].retrieval_method == "embedding"
+    assert got["b"].score == pytest.approx(1 / 61 + 1 / 62)
+    for k in (0, -3):
+        assert hybrid.retrieve(both, queries, final_k=k).collect() == []
+    with pytest.raises(ValueError):
+        hybrid.retrieve(both, queries, mode="dense")
+    score = lambda c: c.withColumn("rerank_score", F.when(F.col("key") == "c", 1.0).otherwise(0.5))
+    best = hybrid.retrieve(both, queries, "hybrid_rerank", 2, score=score).orderBy("rank").collect()
+    assert [(r.key, r.score, r.retrieval_method) for r in best] == [("c", 1.0, "hybrid_rerank"), ("a", 0.5, "hybrid_rerank")]
+    only = hybrid.retrieve(both, queries, "hybrid_rerank", 5, candidate_k=1, score=score).collect()
+    assert [r.key for r in only] == ["b"]
+    line = {r.key: r for r in hybrid.retrieve(both, queries, fuse=hybrid.linear).collect()}
+    assert line["b"].score == pytest.approx(0.15 * 0.5 + 0.85) and line["b"].retrieval_method == "hybrid"
+    seen = hybrid.observation(hybrid.retrieve(both, queries)).first()
+    assert seen.chunk_count == 3 and seen.top_embedding_score == 0.9 and [c["rank"] for c in seen.chunks] == [1, 2, 3]
+    keys = spark.createDataFrame([("a.md", 3), ("a.md", None), (None, 1)], "s string, i int").select(hybrid.result_key(F.col("s"), F.col("i")).alias("k")).collect()
+    assert [r.k for r in keys] == ["a.md:3", "a.md", ":1"]
+
+
+@pytest.mark.parametrize("block,rows", [(16384, 200_000), (4, 3)])
+def test_stored_index(spark, tmp_path, monkeypatch, block, rows):
+    """As a search without an index, over few and many blocks; ids may be strings, documents empty."""
+    monkeypatch.setattr(index, "BLOCK_DOCS", block)
+    monkeypatch.setattr(index, "QUERY_ROWS", rows)
+    rng = random.Random(2)
+    words = ["market", "team", "growth", "the", "process", "customer", "report", "strategy"]
+    docs = [(f"d{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [("none", None)]
+    docs = spark.createDataFrame(docs, "doc_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.sample(words, 3))) for i in range(12)] + [(90, ""), (91, "unknown")], "query_id int, query string")
+    index.write_bm25_index(docs, str(tmp_path / "i"))
+    stored = index.read_bm25_index(spark, str(tmp_path / "i")).cache()
+    want = sorted(map(tuple, retrieval.bm25(asked, docs, 4).collect()))
+    assert sorted(map(tuple, stored.search(asked, 4).collect())) == want and len(want) == 48
+    stored.reset()
+    index.write_bm25_index(docs.limit(0), str(tmp_path / "none"))
+    assert index.read_bm25_index(spark, str(tmp_path / "none")).search(asked, 4).count() == 0
+
+
+def test_vectors_of_string_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", None)], "vec_id string, embedding array<double>")
+    got = retrieval.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, 2, exclude_self=True).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [("a", "b", 0.8), ("b", "a", 0.8)]
