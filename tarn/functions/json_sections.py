@@ -55,52 +55,73 @@ def parse_strict(raw: str | None) -> list[dict] | None:
 
 
 def balanced_objects(text: str) -> list[str]:
-    """The complete object that begins at each opening brace, if it closes; strings are skipped as seen from that brace."""
-    out = []
+    """The complete object that begins at each opening brace, if it closes; strings are skipped as seen from that brace.
+
+    One walk closes all braces that it meets outside of strings; another one begins at each brace that no walk has met.
+    """
+    ends: dict[int, int] = {}
+    met: set[int] = set()
     for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth = 0
+        if start in met:
+            continue
+        open_: list[int] = []
         for unit in _UNIT.finditer(text, start):
-            depth += (unit[0] == "{") - (unit[0] == "}")
-            if not depth:
-                out.append(text[start : unit.end()])
-                break
-    return out
+            if unit[0] == "{":
+                met.add(unit.start())
+                open_.append(unit.start())
+            elif unit[0] == "}" and open_:
+                ends[open_.pop()] = unit.end()
+    return [text[start : ends[start]] for start in sorted(ends)]
 
 
 def drop_stray_quotes(text: str) -> tuple[str, int]:
     """Quotes outside of strings between ``},`` and ``{`` removed, and how many."""
-    out, at, dropped = "", 0, 0
+    out: list[str] = []
+    at, dropped, tail, spaced = 0, 0, "", False  # tail: the last two characters but for white space at the end
     while at < len(text):
-        if _STRAY.match(text, at) and out.rstrip().endswith("},"):
+        if tail == "}," and _STRAY.match(text, at):
             at, dropped = at + 1, dropped + 1
             continue
         unit = _UNIT.match(text, at)[0]
-        out, at = out + unit, at + len(unit)
-    return out, dropped
+        out.append(unit)
+        at += len(unit)
+        if unit.isspace():
+            spaced = True
+        else:
+            tail, spaced = ((" " if spaced else tail) + unit[-2:])[-2:], False
+    return "".join(out), dropped
 
 
 def _digits(x) -> bool:
     return isinstance(x, str) and x.strip().isdigit()
 
 
+#: What a value that isn't a list of items is turned into, and the name of that repair.
+_LISTED = [(_whole, lambda x: [x], "source_items_scalar_to_list"), (_digits, lambda x: [int(x)], "source_items_numeric_string_to_list")]
+#: The same for one item of a list; a number needs no repair.
+_NUMBERED = [(_whole, lambda x: x, None), (_digits, int, "source_item_numeric_string_to_int")]
+
+
+def _by_rule(value, rules: list[tuple]) -> tuple | None:
+    return next(((made(value), name) for fits, made, name in rules if fits(value)), None)
+
+
+def _sentence(value) -> tuple[dict, list[str]] | None:
+    if not (isinstance(value, dict) and set(value) == {"text", "source_items"} and isinstance(value["text"], str) and value["text"].strip()):
+        return None
+    items, name = _by_rule(value["source_items"], _LISTED) or (value["source_items"], None)
+    numbers = [_by_rule(i, _NUMBERED) for i in items] if isinstance(items, list) else [None]
+    if None in numbers:
+        return None
+    return {"text": value["text"], "source_items": [n for n, _ in numbers]}, [x for x in (name, *(done for _, done in numbers)) if x]
+
+
 def _normalized(value) -> tuple[list[dict], list[str]] | None:
     """Sentences with scalar or numeric-string items made lists of numbers, and what was done; None if anything else is off."""
-    if not isinstance(value, dict) or set(value) != {"sentences"} or not isinstance(value["sentences"], list) or not value["sentences"]:
+    if not isinstance(value, dict) or list(value) != ["sentences"] or not isinstance(value["sentences"], list):
         return None
-    out, actions = [], []
-    for s in value["sentences"]:
-        if not isinstance(s, dict) or set(s) != {"text", "source_items"} or not isinstance(s["text"], str) or not s["text"].strip():
-            return None
-        items = s["source_items"]
-        if _whole(items):
-            items, actions = [items], [*actions, "source_items_scalar_to_list"]
-        elif _digits(items):
-            items, actions = [int(items)], [*actions, "source_items_numeric_string_to_list"]
-        if not isinstance(items, list) or not all(_whole(i) or _digits(i) for i in items):
-            return None
-        actions += ["source_item_numeric_string_to_int" for i in items if _digits(i)]
-        out.append({"text": s["text"], "source_items": [int(i) for i in items]})
-    return out, actions
+    found = [_sentence(s) for s in value["sentences"]]
+    return ([s for s, _ in found], [x for _, done in found for x in done]) if found and None not in found else None
 
 
 def recover(raw: str | None) -> Recovery:

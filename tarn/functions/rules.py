@@ -111,9 +111,12 @@ def citations(report: Column) -> Column:
 
 def report_issues(report: Column, sources: Column) -> Column:
     """Messages of the text checks; ``sources``: the source names retrieved (none skips the citation checks)."""
-    text = strip(F.coalesce(report, F.lit("")))
-    raw, lower = F.coalesce(report, F.lit("")), F.lower(text)
-    n = F.size(F.coalesce(sources, F.array().cast("array<string>")))
+    names = F.coalesce(sources, F.array().cast("array<string>"))
+    return let(F.struct(strip(F.coalesce(report, F.lit(""))).alias("text"), F.coalesce(report, F.lit("")).alias("raw"), names.alias("names")), lambda x: let(F.lower(x["text"]), lambda lower: _text_issues(x["text"], x["raw"], lower, x["names"])))
+
+
+def _text_issues(text: Column, raw: Column, lower: Column, sources: Column) -> Column:
+    n = F.size(sources)
     cited = F.exists(citations(raw), lambda i: (i >= 1) & (i <= n))
     either = lambda words: _any(raw, words[0]) | _any(lower, words[1])
     count = lambda c: F.length(raw) - F.length(F.replace(raw, F.lit(c), F.lit("")))
@@ -125,7 +128,7 @@ def report_issues(report: Column, sources: Column) -> Column:
         (text == "", m["empty"]),
         (F.length(text) < 300, m["short"]),
         ((n > 0) & ~cited, m["citation"]),
-        ((n > 0) & F.exists(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.contains(raw, s)), m["source"]),
+        (F.exists(sources, lambda s: F.contains(raw, s)), m["source"]),
         (~either(V.RECOMMENDATION_WORDS), m["recommendation"]),
         (~either(V.ASSUMPTION_WORDS), m["assumption"]),
         (F.size(contained(raw, V.GENERIC_PHRASES)) >= 2, m["generic"]),

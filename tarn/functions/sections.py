@@ -183,13 +183,15 @@ def boundary(start: int, lengths: list[int], similar: np.ndarray, target: int, m
     return min(large, key=far)[0] if large else ends[-1][0]
 
 
-def semantic(body: str, embed: Callable[[list[str]], np.ndarray], least: int = V.SEMANTIC_MIN, target: int = V.TARGET_CHARS, most: int = V.MAX_CHARS, threshold: float = V.SEMANTIC_BREAK) -> list[str]:
-    """Sentences grouped at semantic boundaries; a short last group joins the one before if both fit."""
-    units = [s for p in map(str.strip, _BLANK.split(body)) if p for s in sentences_of(p) or [p]]
+def semantic_units(body: str) -> list[str]:
+    """The sentences of its paragraphs."""
+    return [s for p in map(str.strip, _BLANK.split(body)) if p for s in sentences_of(p) or [p]]
+
+
+def semantic_chunks(units: list[str], similar: np.ndarray, least: int = V.SEMANTIC_MIN, target: int = V.TARGET_CHARS, most: int = V.MAX_CHARS, threshold: float = V.SEMANTIC_BREAK) -> list[str]:
+    """Sentences grouped at semantic boundaries; ``similar`` is the likeness of neighbours. A short last group joins the one before if both fit."""
     if len(units) < 2:
         return [c for u in units for c in hard_split(u, most)]
-    vectors = embed(units)
-    similar = np.einsum("ij,ij->i", vectors[:-1].astype(np.float64), vectors[1:].astype(np.float64))
     lengths, out, at = list(map(len, units)), [], 0
     while at < len(units):
         if lengths[at] > most:
@@ -204,6 +206,13 @@ def semantic(body: str, embed: Callable[[list[str]], np.ndarray], least: int = V
     return out
 
 
+def semantic(body: str, embed: Callable[[list[str]], np.ndarray], **sizes) -> list[str]:
+    """The semantic chunks of one body, its sentences embedded as unit vectors."""
+    units = semantic_units(body)
+    vectors = embed(units).astype(np.float64) if len(units) > 1 else np.zeros((1, 1))
+    return semantic_chunks(units, np.einsum("ij,ij->i", vectors[:-1], vectors[1:]), **sizes)
+
+
 def sentence_tail(text: str, size: int) -> str:
     """Whole sentences from the end, one at least, up to about ``size`` characters."""
     units = sentences_of(text) or [text]
@@ -227,14 +236,16 @@ def semantic_overlap(chunks: list[str], size: int) -> list[str]:
 
 def hashed_embedding(units: list[str], dim: int = 64) -> np.ndarray:
     """A deterministic stand-in for a sentence model: signed hashed character trigrams, unit length."""
-    out = np.zeros((len(units), dim), np.float64)
-    for row, text in zip(out, units, strict=True):
-        c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-        c = np.concatenate([c, np.zeros(max(0, 3 - len(c)), np.uint64)])
-        h = (c[:-2] * np.uint64(0x9E3779B1) + c[1:-1]) * np.uint64(0x85EBCA77) + c[2:]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        seen = np.bincount((h >> np.uint64(40)).astype(np.int64) % (2 * dim), minlength=2 * dim)
-        row += seen[:dim] - seen[dim:]
-        norm = np.sqrt((row * row).sum())
-        row /= norm if norm else 1
-    return out.astype(np.float32)
+    padded = [u if len(u) > 2 else u + "\0" * (3 - len(u)) for u in units]
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if not len(c):
+        return np.zeros((0, dim), np.float32)
+    owner = np.repeat(np.arange(len(units)), list(map(len, padded)))
+    inside = owner[:-2] == owner[2:]
+    h = ((c[:-2] * np.uint64(0x9E3779B1) + c[1:-1]) * np.uint64(0x85EBCA77) + c[2:])[inside]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    cell = owner[:-2][inside] * (2 * dim) + (h >> np.uint64(40)).astype(np.int64) % (2 * dim)
+    seen = np.bincount(cell, minlength=2 * dim * len(units)).reshape(len(units), 2 * dim).astype(np.float64)
+    out = seen[:, :dim] - seen[:, dim:]
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)

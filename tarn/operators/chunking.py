@@ -27,17 +27,19 @@ def fixed_pieces(text: Column, size: int) -> Column:
 
 def pack(units: Column, size: int, joint: str = "\n\n") -> Column:
     """Greedy packing of an array of texts: a unit joins the open chunk while both fit; longer units are cut and stand alone."""
-    chunk = "array<struct<t:string,open:boolean>>"
+    closed = F.array().cast("array<string>")
 
-    def step(out: Column, unit: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        fits = (F.size(out) > 0) & last["open"] & (F.length(last["t"]) + len(joint) + F.length(unit) <= size)
-        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.concat(last["t"], F.lit(joint), unit).alias("t"), F.lit(True).alias("open"))))
-        cut = F.concat(out, F.transform(fixed_pieces(unit, size), lambda p: F.struct(p.alias("t"), F.lit(False).alias("open"))))
-        new = F.concat(out, F.array(F.struct(unit.alias("t"), F.lit(True).alias("open"))))
-        return F.when(F.length(unit) > size, cut).when(fits, grown).otherwise(new)
+    def ended(a: Column) -> Column:
+        return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
 
-    return F.transform(F.aggregate(units, F.array().cast(chunk), step), lambda c: c["t"])
+    def step(a: Column, unit: Column) -> Column:
+        grown = F.concat(a["open"], F.lit(joint), unit)
+        state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+        fits = a["open"].isNotNull() & (F.length(a["open"]) + len(joint) + F.length(unit) <= size)
+        cut = state(F.concat(ended(a), fixed_pieces(unit, size)), F.lit(None).cast("string"))
+        return F.when(F.length(unit) > size, cut).when(fits, state(a["done"], grown)).otherwise(state(ended(a), unit))
+
+    return F.aggregate(units, F.struct(closed.alias("done"), F.lit(None).cast("string").alias("open")), step, ended)
 
 
 def recursive_units(text: Column, size: int) -> Column:
@@ -86,14 +88,31 @@ def parse_sections(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, section_order int, {_SECTION}, body_lines array<string>")
 
 
-def _from_sections(docs: DataFrame, split: Callable[[list[str]], list[str]]) -> DataFrame:
-    @F.udf("array<string>", useArrow=True)
-    def pieces(lines):
-        return split(list(lines))
+#: Sentences that are embedded in one call, and texts that are split together.
+EMBED_AT_ONCE, DOCS_AT_ONCE = 50_000, 512
+
+
+def _from_sections(docs: DataFrame, split: Callable[[list[S.Section]], list[list[str]]]) -> DataFrame:
+    """Chunks of the sections of each document: parsed and split in one pass, many documents at a time."""
+    names = [x.split()[0] for x in _SECTION.split(", ")]
+    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.string()) for n in names], ("chunk_count", pa.int32()), ("at", pa.int32()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(first, DOCS_AT_ONCE)
+                found = [(d, s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in S.parse_sections((t or "").splitlines())]
+                pieces = split([s for _, s in found])
+                rows = [(d, *(getattr(s, n) for n in names), len(p), i, c) for (d, s), p in zip(found, pieces, strict=True) for i, c in enumerate(p)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {_SECTION}, chunk_count int, at int, content string")
+    return _section_chunks(rows, F.col("at") + 1)
+
 
-    rows = parse_sections(docs).withColumn("pieces", pieces("body_lines"))
-    rows = rows.select("*", F.size("pieces").alias("chunk_count"), F.posexplode("pieces").alias("at", "content"))
-    return _section_chunks(rows, (F.col("at") + 1).cast("int"))
+def _each(split: Callable[[list[str]], list[str]]) -> Callable[[list[S.Section]], list[list[str]]]:
+    return lambda sections: [split(s.lines) for s in sections]
 
 
 def _section_chunks(rows: DataFrame, index: Column) -> DataFrame:
@@ -113,7 +132,7 @@ def section_raw(docs: DataFrame) -> DataFrame:
 
 def section_recursive(docs: DataFrame, size: int = 900, overlap: int = 0) -> DataFrame:
     split = lambda lines: S.recursive("\n".join(lines), size)
-    return _from_sections(docs, (lambda lines: S.with_tail(split(lines), overlap)) if overlap else split)
+    return _from_sections(docs, _each((lambda lines: S.with_tail(split(lines), overlap)) if overlap else split))
 
 
 def section_semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = S.hashed_embedding, overlap: int = 0, least: int = V.SEMANTIC_MIN, target: int = V.TARGET_CHARS, most: int = V.MAX_CHARS, threshold: float = V.SEMANTIC_BREAK) -> DataFrame:
@@ -123,9 +142,18 @@ def section_semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] =
     if not -1 <= threshold <= 1:
         raise ValueError("threshold must be a cosine")
 
-    def split(lines: list[str]) -> list[str]:
-        chunks = S.semantic("\n".join(lines), embed, least, target, most, threshold)
-        return S.semantic_overlap(chunks, overlap) if overlap else chunks
+    def split(sections: list[S.Section]) -> list[list[str]]:
+        units = [S.semantic_units(s.body) for s in sections]
+        flat = [u for own in units for u in own]
+        vectors = [embed(flat[i : i + EMBED_AT_ONCE]) for i in range(0, len(flat), EMBED_AT_ONCE)]
+        vectors = np.concatenate(vectors).astype(np.float64) if flat else np.zeros((0, 1))
+        similar = np.einsum("ij,ij->i", vectors[:-1], vectors[1:])
+        out, at = [], 0
+        for own in units:
+            chunks = S.semantic_chunks(own, similar[at : at + max(0, len(own) - 1)], least, target, most, threshold)
+            out.append(S.semantic_overlap(chunks, overlap) if overlap else chunks)
+            at += len(own)
+        return out
 
     return _from_sections(docs, split)
 
@@ -136,12 +164,13 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fixed_size_1800": lambda docs: fixed_size(docs, 1800),
     "recursive": recursive,
     "section_raw": section_raw,
-    "section_based": lambda docs: _from_sections(docs, S.section_pack),
-    "section_based_no_overlap": lambda docs: _from_sections(docs, S.section_pack_no_overlap),
+    "section_based": lambda docs: _from_sections(docs, _each(S.section_pack)),
+    "section_based_no_overlap": lambda docs: _from_sections(docs, _each(S.section_pack_no_overlap)),
     "section_recursive": section_recursive,
     "section_recursive_overlap": lambda docs: section_recursive(docs, overlap=V.OVERLAP_CHARS),
     "section_semantic": section_semantic,
     "section_semantic_overlap": lambda docs: section_semantic(docs, overlap=V.OVERLAP_CHARS),
+    **{f"section_semantic_overlap_{n:03d}": lambda docs, n=n: section_semantic(docs, overlap=n) for n in (90, 180, 270, 360)},
 }
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
+from tarn.functions.text import evidence_units, normalize_evidence
 from tarn.operators.retrieval import DIGITS
 
 
@@ -122,48 +123,45 @@ def chunk_diagnostics(chunks: DataFrame, content: str = "content", order: tuple[
     )
 
 
-def evidence_coverage(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(case_id, coverage, density) of ranked (case_id, rank, content) and gold (case_id, evidence, text) at rank k.
-
-    Coverage is the share of gold characters that results hold, each counted once; density the share of the results' characters
-    that match gold. Both are of normalised texts; evidence matches as a whole or by its sentences. A case's k results and its
-    evidence meet in one row.
-    """
-    from tarn.functions.text import evidence_units, normalize_evidence
-
-    held = ranked.filter(F.col("rank") <= k).select("case_id", "rank", normalize_evidence(F.col("content")).alias("c")).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]).alias("contents"))
-    wanted = gold.select("case_id", normalize_evidence(F.col("text")).alias("n"), F.explode(evidence_units(F.col("text"))).alias("u")).select("case_id", "n", normalize_evidence(F.col("u")).alias("u"))
-    wanted = wanted.groupBy("case_id", "n").agg(F.array_sort(F.collect_set("u")).alias("units")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", "units"))).alias("gold"))
-
-    @F.udf("struct<coverage:double,density:double>", useArrow=True)
-    def measured(contents, gold):
-        contents = list(contents if contents is not None else [])
-        total = covered = shared = 0
-        for g in gold if gold is not None else []:
-            whole, units = g["n"], g["units"]
-            if not whole:
-                continue
-            total += len(whole)
-            mine, theirs = set(), [set() for _ in contents]
-            for needle in {whole, *filter(None, units)}:
-                spots = [_spots(c, needle) for c in contents]
-                for seen, at in zip(theirs, spots, strict=True):
-                    seen.update(p for i in at for p in range(i, i + len(needle)))
-                if any(spots):
-                    mine.update(p for i in _spots(whole, needle) for p in range(i, i + len(needle)))
-            covered += len(mine)
-            shared += sum(map(len, theirs))
-        chars = sum(map(len, contents))
-        return {"coverage": covered / total if total else 0.0, "density": shared / chars if chars else 0.0}
-
-    rows = wanted.join(held, "case_id", "left")
-    return rows.select("case_id", measured("contents", "gold").alias("m")).select("case_id", F.round("m.coverage", DIGITS).alias("coverage"), F.round("m.density", DIGITS).alias("density"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def spots(text: pd.Series, needle: pd.Series) -> pd.Series:
+    """Offsets of all occurrences of a needle that isn't empty, overlapping ones too."""
+    return pd.Series([_spots(t, n) for t, n in zip(text, needle, strict=True)])
 
 
 def _spots(text: str, needle: str) -> list[int]:
-    """Offsets of all occurrences, overlapping ones too."""
     out, at = [], text.find(needle)
     while at >= 0:
         out.append(at)
         at = text.find(needle, at + 1)
     return out
+
+
+def _covered(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, covered): how many positions the ranges (by, start, stop) hold, each counted once."""
+    before = F.max("stop").over(Window.partitionBy(*by).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(before, F.col("start"))))
+    return ranges.withColumn("new", new).groupBy(*by).agg(F.sum("new").alias("covered"))
+
+
+def evidence_coverage(ranked: DataFrame, gold: DataFrame, k: int, compose: bool = True) -> DataFrame:
+    """(case_id, coverage, density) of ranked (case_id, rank, content) and gold (case_id, evidence, text) at rank k.
+
+    Coverage is the share of gold characters that results hold, each counted once; density the share of the results' characters
+    that match gold. Both are of normalised texts; evidence matches as a whole or by its sentences. Matches are ranges of
+    positions, a row each, and the ranges of one text are counted by a running end. Needles and contents meet by case.
+    """
+    norm = lambda c: normalize_evidence(F.col(c), compose)
+    contents = ranked.filter(F.col("rank") <= k).select("case_id", "rank", norm("content").alias("c"))
+    wanted = gold.select("case_id", norm("text").alias("n"), evidence_units(F.col("text")).alias("units")).filter("n <> ''")
+    units = wanted.select("case_id", "n", F.explode("units").alias("u")).select("case_id", "n", norm("u").alias("needle")).filter("needle <> ''")
+    needles = units.unionByName(wanted.select("case_id", "n", F.col("n").alias("needle"))).distinct()
+    found = contents.join(needles, "case_id").filter(F.contains("c", "needle")).select("case_id", "n", "needle", "rank", "c")
+    ranges = lambda rows, text, by: rows.select(*by, "needle", F.explode(spots(text, "needle")).alias("start")).withColumn("stop", F.col("start") + F.length("needle"))
+    shared = _covered(ranges(found, "c", ["case_id", "n", "rank"]), ["case_id", "n", "rank"]).groupBy("case_id").agg(F.sum("covered").alias("shared"))
+    mine = _covered(ranges(found.select("case_id", "n", "needle").distinct(), "n", ["case_id", "n"]), ["case_id", "n"]).groupBy("case_id").agg(F.sum("covered").alias("covered"))
+    total = wanted.select("case_id", "n").distinct().groupBy("case_id").agg(F.sum(F.length("n")).alias("total"))
+    chars = contents.groupBy("case_id").agg(F.sum(F.length("c")).alias("chars"))
+    rows = gold.select("case_id").distinct().join(total, "case_id", "left").join(chars, "case_id", "left").join(mine, "case_id", "left").join(shared, "case_id", "left")
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.coalesce(a, F.lit(0)) / F.col(b), DIGITS)).otherwise(0.0).alias
+    return rows.select("case_id", share("covered", "total")("coverage"), share("shared", "chars")("density"))
