@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import col, discard, fresh, materialize, settled, skew_join
 from tarn.llm.components import components
-from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced, trim
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -209,6 +209,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
                 elif likeness(leader, bag.as_buffer()) >= LIKENESS:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        trim()
 
     return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
@@ -305,6 +306,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
     if held:
         yield flush()
+    trim()
 
 
 def _dealt(members: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ fewest batches, so its memory is bounded for any number of words.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -51,6 +53,7 @@ class ChunkCache:
 
 
 _held: dict[tuple, ChunkCache] = {}
+_LIBRARY = ctypes.CDLL(None) if os.name == "posix" else None
 
 
 def held_cache(key: tuple, make: Callable[[], ChunkCache]) -> ChunkCache:
@@ -64,7 +67,14 @@ def held_cache(key: tuple, make: Callable[[], ChunkCache]) -> ChunkCache:
 def release() -> None:
     """Drop the worker's cache and return freed memory."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system: a worker waits for its next task between the stages of a job."""
     pa.default_memory_pool().release_unused()
+    if trims := getattr(_LIBRARY, "malloc_trim", None):
+        trims(0)
 
 
 def spaced(texts: pa.Array) -> pa.ListArray:
@@ -125,3 +135,4 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = BY
             yield batch.slice(at, rows), texts.slice(at, rows)
             at += rows
         pa.default_memory_pool().release_unused()
+    trim()
