@@ -48,7 +48,7 @@ WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
 BLOCK, BLOCK_WORDS, LEADER_BLOCK, FILTER_BITS = 512, 1 << 20, 256, 1 << 26
 #: Bytes of text whose signatures are drawn at once.
-BYTES = 2 << 20
+BYTES = 1 << 20
 #: Words a worker keeps with their hashes.
 MAX_WORDS = 250_000
 #: Shingles of more nodes of a group than this are counted by matrix products of so many columns.
