@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,6 +21,34 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Write the rows as one JSON array, nulls included, to a file that is replaced at once; rows pass through the driver a partition at a time."""
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+    write_lines((f"{'[' if i == 0 else ','}\n  {r['j']}" for i, r in enumerate(lines)), path, "\n]\n", "[]\n")
+
+
+def write_lines(parts: Iterable[str], path: str, end: str = "", empty: str = "") -> None:
+    """Write parts to a new file beside ``path`` and move it there: a reader sees the old file or the new one, whole."""
+    files, target = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    folder, _, name = target.rpartition("/")
+    files.create_dir(folder)
+    made, some = f"{folder}/.{name}.{uuid.uuid4().hex}", False
+    with files.open_output_stream(made) as out:
+        for part in parts:
+            some = True
+            out.write(part.encode())
+        out.write((end if some else empty).encode())
+    files.move(made, target)
+
+
+def upsert(new: DataFrame, path: str, key: str, order: str) -> DataFrame:
+    """Append rows to the table at ``path`` and return its latest row of each key; nested values are kept as JSON text."""
+    nested = [f.name for f in new.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    new.withColumns({c: F.to_json(c) for c in nested}).write.mode("append").parquet(path)
+    rows = new.sparkSession.read.parquet(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
 def write_vector_index(chunks: DataFrame, embed: Callable[[Column], Column], path: str, key: str = "source_id", text: str = "content") -> None:
     """(key, embedding) and a one-row manifest of count and dimension."""
     chunks.select(key, embed(F.col(text)).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
