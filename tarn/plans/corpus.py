@@ -11,8 +11,9 @@ from tarn.functions import text as T
 from tarn.operators import chunking as C
 from tarn.operators import corpus_qa as Q
 from tarn.operators import evaluation as E
-from tarn.operators import reports, runs
+from tarn.operators import cases, judging, reports, runs
 from tarn.plans.retrieval import _t
+from tarn.sources import markdown
 
 
 def _docs(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> DataFrame:
@@ -77,6 +78,12 @@ def section_parse(spark, sf_dir):
     return C.parse_sections(_markdown(spark, sf_dir)).select("doc_id", "section_order", "chapter_id", "section_id", "chapter_title", "section_title", F.size("body_lines").alias("n_lines"))
 
 
+SECTION_PARSE_SQL = SECTION_RAW_SQL.split("SELECT doc_id, 'ch00' AS chapter_id")[0] + """
+SELECT doc_id, 1 AS section_order, 'ch00' AS chapter_id, 's00' AS section_id, s AS chapter_title, '' AS section_title, 1 AS n_lines FROM o
+UNION ALL SELECT doc_id, 2, 'ch00', 's01', s, l, CAST(len(string_split(body, chr(10))) AS INTEGER) FROM o
+"""
+
+
 def _strategy(name):
     return lambda spark, sf_dir: C.experiment_corpus(_markdown(spark, sf_dir).withColumn("text", F.concat(F.lit("# before\nx\n"), "text")), name).select("doc_id", "chapter_id", "section_id", "chunk_index", "chunk_count", "content", "source_id")
 
@@ -210,11 +217,11 @@ SELECT doc_id, len(issues) = 0 AS passed, array_to_string(issues, '|') AS issues
 
 
 def _sections(spark, sf_dir):
-    """Conversations as runs: their first turns as sections of a report."""
-    c = _t(spark, sf_dir, "conversations").filter("turn < 4")
-    name = F.element_at(F.array(*map(F.lit, V.SECTIONS)), (F.col("turn") + 1).cast("int"))
+    """Conversations as runs: each four turns are the sections of a report."""
+    c = _t(spark, sf_dir, "conversations")
+    name = F.element_at(F.array(*map(F.lit, V.SECTIONS)), (F.col("turn") % 4 + 1).cast("int"))
     return c.select(
-        F.col("conv_id").alias("run_id"), name.alias("section"), F.when(F.length("text") % 7 == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"),
+        (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 4)).alias("run_id"), name.alias("section"), F.when(F.length("text") % 7 == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"),
         F.when(F.length("text") % 11 == 0, F.lit(None)).otherwise(F.array((F.length("text") % 7).cast("int"), F.lit(1))).cast("array<int>").alias("source_items"),
         F.when(F.length("text") % 5 == 0, "length").when(F.length("text") % 13 == 0, F.lit(None)).otherwise("stop").alias("done_reason"), (F.length("text") % 3 != 0).alias("final_parse_success"),
     )
@@ -228,7 +235,7 @@ def validation(spark, sf_dir):
 
 
 VALIDATION_SQL = f"""WITH names AS (SELECT unnest({_list(V.SECTIONS)}) AS section, unnest(range(0, 4)) AS pos),
-s AS (SELECT conv_id AS run_id, turn, length(text) AS n FROM conversations WHERE turn < 4), r AS (SELECT DISTINCT run_id FROM s),
+s AS (SELECT conv_id * 1000 + turn // 4 AS run_id, turn % 4 AS turn, length(text) AS n FROM conversations), r AS (SELECT DISTINCT run_id FROM s),
 g AS (SELECT r.run_id, pos, section, n FROM r CROSS JOIN names LEFT JOIN s ON s.run_id = r.run_id AND s.turn = pos),
 i AS (SELECT run_id, pos, section, CASE WHEN n IS NULL THEN ['Missing section: ' || section || '.'] ELSE list_filter([
   CASE WHEN n % 7 = 0 THEN 'Section content is empty: ' || section || '.' END, CASE WHEN n % 11 = 0 THEN 'source_items is invalid: ' || section || '.' END,
@@ -374,10 +381,87 @@ MATCH_SQL = f"""WITH p AS (SELECT a.doc_id, a.text, {_N.format("b.text")} AS con
 SELECT doc_id, content <> '' AND contains(content, {_N.format("text")}) AS whole, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda u: {_N.format("u")}), lambda u: u <> '' AND contains(content, u))) AS BIGINT) AS lines FROM p"""
 
 
+# --- sources and cases ---------------------------------------------------------------------------------------------------
+
+
+def raw_sections(spark, sf_dir):
+    """Documents as raw ones: text before a numbered chapter, lines as paragraphs of its first section, a second one and, in every tenth, an unnumbered heading."""
+    d = _t(spark, sf_dir, "documents")
+    digit = F.substring(F.lit("一二三四五六七八九"), (F.col("doc_id") % 9 + 1).cast("int"), F.lit(1))
+    tail = F.when(F.col("doc_id") % 10 == 0, F.lit("\n# other\n## c\nmore")).otherwise("")
+    text = F.concat(F.lit("front\n# 第"), digit, F.lit("章 t\nlead\n## a\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n## b\nend of "), "source", tail)
+    found = cases.raw_sections(d.select("doc_id", text.alias("text")))
+    return found.select("doc_id", "chapter_id", "section_id", F.size("paragraphs").cast("long").alias("n"), F.md5(F.array_join("paragraphs", "|").cast("binary")).alias("paragraphs_md5"))
+
+
+RAW_SECTIONS_SQL = f"""WITH s AS (SELECT doc_id, format('ch{{:02d}}', doc_id % 9 + 1) AS chapter_id, unnest([1, 2, 3]) AS s, unnest([{_PARAS}, [CASE WHEN doc_id % 10 = 0 THEN 'end of ' || source || chr(10) || '# other' ELSE 'end of ' || source END], CASE WHEN doc_id % 10 = 0 THEN ['more'] END]) AS p FROM documents)
+SELECT doc_id, chapter_id, format('s{{:02d}}', s) AS section_id, len(p) AS n, md5(array_to_string(p, '|')) AS paragraphs_md5 FROM s WHERE p IS NOT NULL"""
+
+
+def metadata_join(spark, sf_dir):
+    """Documents as chunks of a manifest whose ids repeat; label rows are metadata records of some ids, the last one of each counts."""
+    d, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    chunks = d.select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("source"))
+    manifest = chunks.select(F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("id"), (F.col("doc_id") % 600).cast("string"))).alias("source_id"), F.col("source").alias("path"), "doc_id")
+    semantic = labels.select(F.concat(F.lit("id"), (F.col("doc_id") % 900).cast("string")).alias("source_id"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("q"), F.col("quality").cast("string"))).otherwise("").alias("summary"), F.concat(F.lit("t"), F.col("toxic").cast("string")).alias("tags"), "doc_id")
+    text = T.metadata_search_text({"summary": F.col("summary"), "inferred.diagnosis_tags": F.when(F.col("doc_id") % 2 == 0, F.col("tags")).otherwise("")})
+    found = markdown.metadata_by_path(semantic, markdown.paths_of(manifest, "doc_id"), text, "doc_id")
+    return markdown.with_metadata(chunks, found).select("doc_id", "source", "metadata_text")
+
+
+_TIMES = V.METADATA_WEIGHTS["inferred.diagnosis_tags"]
+METADATA_SQL = f"""WITH m AS (SELECT 'id' || (doc_id % 600) AS source_id, arg_max('p' || doc_id, doc_id) AS path FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1),
+r AS (SELECT doc_id, 'id' || (doc_id % 900) AS source_id, array_to_string((CASE WHEN doc_id % 3 > 0 THEN ['q' || quality] ELSE [] END) || (CASE WHEN doc_id % 2 = 0 THEN list_transform(range({_TIMES}), lambda i: 't' || toxic) ELSE [] END), chr(10)) AS t FROM labels),
+f AS (SELECT path, arg_max(t, r.doc_id) AS t FROM r JOIN m USING (source_id) WHERE t <> '' GROUP BY path)
+SELECT doc_id, 'p' || doc_id AS source, coalesce(t, '') AS metadata_text FROM documents LEFT JOIN f ON path = 'p' || doc_id"""
+
+
+def restored(spark, sf_dir):
+    """Conversations' turns as ranked sources, with what the documents hold of them and the split of each case."""
+    c, d = _t(spark, sf_dir, "conversations"), _t(spark, sf_dir, "documents")
+    n = d.agg(F.max("doc_id").alias("n"))
+    ranked = c.crossJoin(F.broadcast(n)).select(F.col("conv_id").alias("case_id"), (F.col("turn") + 1).alias("rank"), ((F.col("conv_id") * 31 + F.col("turn") * 7) % (F.col("n") + 1)).cast("string").alias("source"))  # n is one row
+    corpus = d.select(F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("chunk_index"), F.col("lang").alias("chapter_title"), F.col("source").alias("section_title"), F.concat_ws("-", "source", "lang").alias("title"), F.concat(F.lit("."), "text").alias("content"))
+    splits = c.select(F.col("conv_id").alias("case_id"), F.when(F.col("conv_id") % 3 == 0, "dev").otherwise("test").alias("split")).distinct()
+    rows = cases.with_split(cases.restore(ranked, corpus), splits)
+    return rows.select("case_id", "rank", "source", "chunk_index", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"), "split")
+
+
+RESTORED_SQL = """WITH n AS (SELECT max(doc_id) + 1 AS n FROM documents), r AS (SELECT conv_id, turn, (conv_id * 31 + turn * 7) % n AS doc_id FROM conversations, n)
+SELECT conv_id AS case_id, turn + 1 AS rank, CAST(doc_id AS VARCHAR) AS source, 1 AS chunk_index, source || '-' || lang AS title, md5('.' || text) AS content_md5, CASE WHEN conv_id % 3 = 0 THEN 'dev' ELSE 'test' END AS split FROM r JOIN documents USING (doc_id)"""
+
+
+def id_differences(spark, sf_dir):
+    shifted = _t(spark, sf_dir, "labels").select((F.col("doc_id") + F.when(F.col("doc_id") % 40 == 3, 10_000_000).otherwise(0)).alias("doc_id"))
+    return cases.id_differences(_t(spark, sf_dir, "documents"), shifted, "doc_id")
+
+
+IDS_SQL = """WITH s AS (SELECT doc_id + CASE WHEN doc_id % 40 = 3 THEN 10000000 ELSE 0 END AS doc_id FROM labels)
+SELECT doc_id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s) UNION ALL SELECT DISTINCT doc_id, 'right' FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
+
+
+def markdown_rows(spark, sf_dir):
+    """Turns as rows of a Markdown table, with previews and what a display with citations shows."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", "role", F.col("turn").cast("string")).alias("name"), (F.length("text") / 7.0).alias("score"), "text")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", judging.cell(F.col("name")), judging.cell(F.when(F.col("turn") % 2 == 0, F.floor("score")))), F.lit(" |"))
+    none = F.lit(None).cast("array<struct<text:string,source_items:array<int>>>")
+    view = judging.sentence_view(none, F.concat(F.lit("<b>&"), "name"), F.array(F.lit(1)))
+    return c.select("conv_id", "turn", line.alias("line"), F.md5(judging.preview(F.col("text"), 60).cast("binary")).alias("preview_md5"), view[0]["text"].alias("shown"))
+
+
+ROWS_SQL = """SELECT conv_id, turn, '| ' || role || '\\|' || turn || ' | ' || CASE WHEN turn % 2 = 0 THEN CAST(floor(length(text) / 7.0) AS BIGINT) || '.000' ELSE '-' END || ' |' AS line,
+  md5(CASE WHEN length(text) > 60 THEN substr(replace(text, chr(10), ' '), 1, 60) || '... [truncated]' ELSE replace(text, chr(10), ' ') END) AS preview_md5, '&lt;b&gt;&amp;' || role || '|' || turn AS shown FROM conversations"""
+
+
 QUERIES = {
+    "raw_sections": (raw_sections, RAW_SECTIONS_SQL),
+    "metadata_join": (metadata_join, METADATA_SQL),
+    "restored_results": (restored, RESTORED_SQL),
+    "id_differences": (id_differences, IDS_SQL),
+    "markdown_rows": (markdown_rows, ROWS_SQL),
     "chunk_fixed": (chunk_fixed, FIXED_SQL),
     "chunk_recursive": (chunk_recursive, RECURSIVE_SQL),
-    "section_parse": (section_parse, None),
+    "section_parse": (section_parse, SECTION_PARSE_SQL),
     "chunk_section_raw": (section_raw, SECTION_RAW_SQL),
     **{f"chunk_{name}": (_strategy(name), None) for name in C.STRATEGIES if name.startswith("section_") and name != "section_raw"},
     "chunk_diagnostics": (diagnostics, DIAGNOSTICS_SQL),

@@ -478,7 +478,21 @@ def coverage(spark, sf_dir):
     texts = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
     ranked = bm25_list(spark, sf_dir).join(texts, "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content")
     gold = _queries(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.lit(0).alias("evidence"), F.col("query").alias("text"))
-    return E.evidence_coverage(ranked, gold, 5)
+    return E.evidence_coverage(ranked, gold, 5, compose=False)
+
+
+_UNITS = f"list_filter(flatten(list_transform(string_split_regex(q.text, '\\n\\s*\\n'), lambda p: list_transform(regexp_extract_all(p, '{V.SENTENCE}'), lambda u: {_norm('u')}))), lambda u: u <> '')"
+COVERED_SQL = f"""WITH {sql_bm25("base", 5, "b")},
+c AS (SELECT query_id AS case_id, rank, {_norm("d.text")} AS c FROM b JOIN documents d USING (doc_id)),
+g AS (SELECT item_id AS case_id, {_norm("q.text")} AS n, {_UNITS} AS units FROM benchmark q), w AS (SELECT case_id, n, unnest(list_distinct(units || [n])) AS needle FROM g WHERE n <> ''),
+f AS (SELECT c.case_id, rank, c, n, needle FROM c JOIN w USING (case_id) WHERE contains(c, needle)),
+o AS (SELECT case_id, rank, n, unnest(list_filter(range(1, length(c) - length(needle) + 2), lambda i: substr(c, i, length(needle)) = needle)) AS pos, length(needle) AS k FROM f),
+shared AS (SELECT case_id, count(*) AS shared FROM (SELECT DISTINCT case_id, rank, n, unnest(range(pos, pos + k)) AS p FROM o) GROUP BY case_id),
+m AS (SELECT case_id, n, unnest(list_filter(range(1, length(n) - length(needle) + 2), lambda i: substr(n, i, length(needle)) = needle)) AS pos, length(needle) AS k FROM (SELECT DISTINCT case_id, n, needle FROM f)),
+mine AS (SELECT case_id, count(*) AS covered FROM (SELECT DISTINCT case_id, n, unnest(range(pos, pos + k)) AS p FROM m) GROUP BY case_id),
+total AS (SELECT case_id, sum(length(n)) AS total FROM g GROUP BY case_id), chars AS (SELECT case_id, sum(length(c)) AS chars FROM c GROUP BY case_id)
+SELECT item_id AS case_id, CASE WHEN total > 0 THEN round(coalesce(covered, 0) / total, {DIGITS}) ELSE 0 END AS coverage, CASE WHEN chars > 0 THEN round(coalesce(shared, 0) / chars, {DIGITS}) ELSE 0 END AS density
+FROM benchmark LEFT JOIN total ON total.case_id = item_id LEFT JOIN chars ON chars.case_id = item_id LEFT JOIN mine ON mine.case_id = item_id LEFT JOIN shared ON shared.case_id = item_id"""
 
 
 QUERIES = {
@@ -511,5 +525,5 @@ QUERIES = {
     "best_method": (best_methods, BEST_SQL),
     "strategy_delta": (deltas, DELTA_SQL),
     "metric_distribution": (distributions, DISTRIBUTION_SQL),
-    "evidence_coverage": (coverage, None),
+    "evidence_coverage": (coverage, COVERED_SQL),
 }

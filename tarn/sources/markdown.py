@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import document_text, strip
-from tarn.sources.tables import exists, write_json_array
+from tarn.sources.tables import exists, json_text, write_json_array
 
-MANIFEST_FILE = "source_metadata.json"
+#: Fixed value: the name of a corpus's manifest.
+MANIFEST_FILE = "_index.json"
 MANIFEST = "source_id string, path string, chapter_id string, section_id string, chunk_index int, chunk_count int, chapter_title string, section_title string, title string, char_count int"
 
 
@@ -51,13 +52,12 @@ def read_markdown(spark: SparkSession, root: str, recursive: bool = True, skip_d
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest, an array of entries in one JSON file; a missing file is an empty manifest, anything but an array too."""
-    try:
-        rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-        return rows.filter("path is not null or source_id is not null")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
+    # Spark's readers pass over files named _..., so the one file is read here.
+    text = json_text(spark, path)
+    entries = spark.createDataFrame([(text,)], "text string").select(F.explode(F.from_json("text", f"array<struct<{MANIFEST.replace(' ', ':')}>>".replace(",:", ","))).alias("e")).select("e.*")
+    return entries.filter("path is not null or source_id is not null")
 
 
 def manifest_chunks(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -73,6 +73,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def json_text(spark: SparkSession, path: str) -> str:
+    """The whole of one small file, in any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def newest(spark: SparkSession, root: str, glob: str) -> str | None:
     """The last file name, by order, that matches."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select(F.max("path"))
