@@ -45,6 +45,12 @@ def ranked_lists(retrievers: dict[str, Retriever], queries: DataFrame, k: int) -
     return out
 
 
+def grid(methods: dict[str, Retriever], queries: DataFrame, k: int) -> DataFrame:
+    """Every query by every method: (query_id, key, method, method_order, score, rank), for a benchmark of methods in order."""
+    order = F.array_position(F.array(*map(F.lit, methods)), F.col("method")) - 1
+    return ranked_lists(methods, queries, k).drop(*ATTRIBUTES).withColumn("method_order", order.cast("int"))
+
+
 def with_numbers(results: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """Display numbers from ids (``ch03`` is 03, ``s01`` 01) and summaries (source, summary) by key, where there are none yet."""
     filled = lambda c: F.nullif(F.col(c), F.lit(""))

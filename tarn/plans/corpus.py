@@ -84,6 +84,69 @@ UNION ALL SELECT doc_id, 2, 'ch00', 's01', s, l, CAST(len(string_split(body, chr
 """
 
 
+_NN = "chr(10) || chr(10)"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _kept(items: str) -> str:
+    """Stripped texts that aren't empty."""
+    return f"list_filter(list_transform({items}, lambda z: {_stripped('z')}), lambda z: z <> '')"
+
+
+def _folded(items: str, step: str) -> str:
+    """The chunks of a fold over one string, in which chr(1) begins a chunk and chr(2) closes one that was cut; ``step`` is of acc and u."""
+    return f"(CASE WHEN len({items}) = 0 THEN [] ELSE list_transform(string_split(list_reduce({items}, lambda acc, u: {step}, ''), chr(1))[2:], lambda c: replace(c, chr(2), '')) END)"
+
+
+def _filled(items: str, size: int, joint: str) -> str:
+    pieces = f"list_aggregate(list_transform(range(0, CAST(ceil(length(u) / {size}) AS BIGINT)), lambda i: substr(u, i * {size} + 1, {size})), 'string_agg', chr(1))"
+    fits = f"acc <> '' AND acc[-1:] <> chr(2) AND length(string_split(acc, chr(1))[-1]) + length({joint}) + length(u) <= {size}"
+    return _folded(items, f"CASE WHEN length(u) > {size} THEN acc || chr(1) || {pieces} || chr(2) WHEN {fits} THEN acc || {joint} || u ELSE acc || chr(1) || u END")
+
+
+def _sectioned_sql(units: str, chunks: str) -> str:
+    """Chunks of the two sections that each document of ``_strategy`` has, from SQL for units of the body's paragraphs and for chunks of units."""
+    return SECTION_RAW_SQL.split("SELECT doc_id, 'ch00' AS chapter_id")[0].rstrip() + f""",
+ps AS (SELECT doc_id, {_kept("string_split_regex(body, chr(10) || '\\s*' || chr(10))")} AS paras FROM o),
+us AS (SELECT doc_id, flatten(list_transform(paras, lambda p: {units})) AS units FROM ps),
+cs AS (SELECT doc_id, {chunks} AS chunks FROM us),
+es AS (SELECT doc_id, CAST(len(chunks) AS INTEGER) AS chunk_count, unnest(chunks) AS content, CAST(unnest(range(1, len(chunks) + 1)) AS INTEGER) AS chunk_index FROM cs)
+SELECT doc_id, 'ch01' AS chapter_id, 's00' AS section_id, 1 AS chunk_index, 1 AS chunk_count, 'lead of ' || source AS content, 'ch01_s00_chunk_01' AS source_id FROM documents
+UNION ALL SELECT doc_id, 'ch01', 's01', chunk_index, chunk_count, content, format('ch01_s01_chunk_{{:02d}}', chunk_index) FROM es"""
+
+
+def _sentences(pattern: str) -> str:
+    return _kept(f"regexp_extract_all(p, '{pattern}')")
+
+
+def _packed(overlap: int) -> str:
+    """Units packed to the target, each chunk led in by the end of the last paragraph before it."""
+    open_ = "string_split(acc, chr(1))[-1]"
+    lead = f"string_split({_stripped(open_)}, {_NN})[-1][-{overlap}:]"
+    led = f"CASE WHEN {lead} <> '' AND length({_stripped(f'{lead} || {_NN} || u')}) <= {V.MAX_CHARS} THEN {lead} || {_NN} || u ELSE u END" if overlap else "u"
+    return _kept(_folded("units", f"CASE WHEN acc = '' THEN chr(1) || u WHEN length({open_}) + 2 + length(u) <= {V.TARGET_CHARS} THEN acc || {_NN} || u ELSE acc || chr(1) || {led} END"))
+
+
+_SHORT = "CASE WHEN length(p) <= 900 THEN [p] ELSE " + _sentences(V.SENTENCE) + " END"
+_WITH_TAIL = _folded(f"({_filled('units', 900, _NN)})", f"CASE WHEN acc = '' THEN chr(1) || u ELSE acc || chr(1) || string_split(acc, chr(1))[-1][-{V.OVERLAP_CHARS}:] || {_NN} || u END")
+
+
+def _long(pattern: str) -> str:
+    return f"CASE WHEN length(p) <= {V.MAX_CHARS} THEN [p] ELSE " + _filled(_sentences(pattern), V.MAX_CHARS, "''") + " END"
+
+
+#: The semantic strategies compare embeddings, which SQL has none of.
+SECTIONED_SQL = {
+    "section_recursive": _sectioned_sql(_SHORT, _filled("units", 900, _NN)),
+    "section_recursive_overlap": _sectioned_sql(_SHORT, _WITH_TAIL),
+    "section_based": _sectioned_sql(_long(V.SENTENCE), _packed(V.OVERLAP_CHARS)),
+    "section_based_no_overlap": _sectioned_sql(_long(V.SENTENCE_COMMA), _packed(0)),
+}
+
+
 def _strategy(name):
     return lambda spark, sf_dir: C.experiment_corpus(_markdown(spark, sf_dir).withColumn("text", F.concat(F.lit("# before\nx\n"), "text")), name).select("doc_id", "chapter_id", "section_id", "chunk_index", "chunk_count", "content", "source_id")
 
@@ -101,6 +164,15 @@ SELECT count(*) AS chunk_count, round(avg(n), 6) AS mean_length, round(median(n)
        CAST(max(n) AS BIGINT) AS max_length, CAST(sum(n) AS BIGINT) AS total_chars, CAST(sum(overlap) AS BIGINT) AS overlap_chars, round(sum(overlap) / sum(n), 6) AS overlap_ratio FROM o
 """
 
+def overlap_diagnostics(spark, sf_dir):
+    chunks = C.section_recursive(_markdown(spark, sf_dir).withColumn("text", F.concat(F.lit("# before\nx\n"), "text")), overlap=V.OVERLAP_CHARS)
+    return E.chunk_diagnostics(chunks.filter("chapter_id <> 'ch00'"), order=("doc_id", "section_id", "chunk_index"))
+
+
+OVERLAP_SQL = f"""WITH x AS ({SECTIONED_SQL["section_recursive_overlap"]}),
+l AS (SELECT content, coalesce(lag(content) OVER (PARTITION BY doc_id ORDER BY section_id, chunk_index), '') AS before FROM x),
+""" + DIAGNOSTICS_SQL[DIAGNOSTICS_SQL.index("o AS (SELECT"):]
+
 # --- rules ------------------------------------------------------------------------------------------------------
 
 _FIXTURE = [
@@ -302,15 +374,17 @@ def json_recovery(spark, sf_dir):
     """Turns as raw model output in several states of disrepair."""
     c = _t(spark, sf_dir, "conversations")
     good = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.array(F.lit(1), F.lit(2)).alias("source_items"))).alias("sentences")))
-    kind = F.col("turn") % 5
-    raw = F.when(kind == 0, good).when(kind == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), good, F.lit(" done"))).when(kind == 3, F.replace(good, F.lit("[1,2]"), F.lit('"3"'))).otherwise(F.substring(good, 1, 20))
+    one = F.to_json(F.struct(F.col("text"), F.array(F.lit(1), F.lit(2)).alias("source_items")))
+    stray = F.concat(F.lit('{"sentences":['), one, F.lit(', "'), one, F.lit("]}"))
+    kind = F.col("turn") % 6
+    raw = F.when(kind == 0, good).when(kind == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), good, F.lit(" done"))).when(kind == 3, F.replace(good, F.lit("[1,2]"), F.lit('"3"'))).when(kind == 5, stray).otherwise(F.substring(good, 1, 20))
     done = reports.parse_sections(c.select("conv_id", "turn", F.col("text"), raw.alias("raw")))
     return done.select("conv_id", "turn", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.array_join(F.col("source_items").cast("array<string>"), ",").alias("source_items"), "initial_parse_success", "final_parse_success", F.array_join("recovery_actions", "|").alias("actions"))
 
 
-JSON_SQL = """WITH k AS (SELECT conv_id, turn, turn % 5 AS kind, text FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN kind = 4 THEN '' WHEN kind = 0 THEN trim(text) ELSE text END) AS content_md5, CASE kind WHEN 4 THEN '' WHEN 3 THEN '3' ELSE '1,2' END AS source_items, kind = 0 AS initial_parse_success, kind <> 4 AS final_parse_success,
-  CASE kind WHEN 1 THEN 'strip_code_fence' WHEN 2 THEN 'extract_json_object' WHEN 3 THEN 'source_items_numeric_string_to_list' ELSE '' END AS actions FROM k"""
+JSON_SQL = """WITH k AS (SELECT conv_id, turn, turn % 6 AS kind, text FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN kind = 4 THEN '' WHEN kind = 0 THEN trim(text) WHEN kind = 5 THEN text || text ELSE text END) AS content_md5, CASE kind WHEN 4 THEN '' WHEN 3 THEN '3' ELSE '1,2' END AS source_items, kind = 0 AS initial_parse_success, kind <> 4 AS final_parse_success,
+  CASE kind WHEN 1 THEN 'strip_code_fence' WHEN 2 THEN 'extract_json_object' WHEN 3 THEN 'source_items_numeric_string_to_list' WHEN 5 THEN 'remove_stray_object_boundary_quote' ELSE '' END AS actions FROM k"""
 
 # --- corpus checks ------------------------------------------------------------------------------------------------------
 
@@ -463,8 +537,9 @@ QUERIES = {
     "chunk_recursive": (chunk_recursive, RECURSIVE_SQL),
     "section_parse": (section_parse, SECTION_PARSE_SQL),
     "chunk_section_raw": (section_raw, SECTION_RAW_SQL),
-    **{f"chunk_{name}": (_strategy(name), None) for name in C.STRATEGIES if name.startswith("section_") and name != "section_raw"},
+    **{f"chunk_{name}": (_strategy(name), SECTIONED_SQL.get(name)) for name in C.STRATEGIES if name.startswith("section_") and name != "section_raw"},
     "chunk_diagnostics": (diagnostics, DIAGNOSTICS_SQL),
+    "chunk_diagnostics_overlap": (overlap_diagnostics, OVERLAP_SQL),
     "detect_language": (detect_language, LANGUAGE_SQL),
     "clarity_check": (clarity, CLARITY_SQL),
     "route_problem": (routes, ROUTE_SQL),

@@ -111,7 +111,10 @@ def document_text(mode: str) -> Column:
     return F.col("text") if mode == "base" else T.document_text(F.col("lang"), F.col("source"), F.col("source"), F.col("text"), meta)
 
 
-def bm25_list(spark, sf_dir, k=5, mode="base"):
+def bm25_list(spark, sf_dir, k=5, mode="base", stored: index.Bm25Index | None = None):
+    """By the stored index if there is one, else by one that lives for this query."""
+    if stored is not None:
+        return stored.search(_queries(spark, sf_dir), k)
     return retrieval.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), k, doc_text=document_text(mode))
 
 
@@ -143,10 +146,10 @@ FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)
 # --- fusion -----------------------------------------------------------------------------------------------------
 
 
-def ranked_lists(spark, sf_dir, k=20):
+def ranked_lists(spark, sf_dir, k=20, stored=None):
     """Two ranked lists of documents for each benchmark passage."""
     named = lambda df, m: df.select("query_id", F.col("doc_id").alias("key"), F.lit(m).alias("method"), "score", "rank")
-    return named(bm25_list(spark, sf_dir, k), "bm25").unionByName(named(keyword_list(spark, sf_dir, k), "keyword"))
+    return named(bm25_list(spark, sf_dir, k, stored=stored), "bm25").unionByName(named(keyword_list(spark, sf_dir, k), "keyword"))
 
 
 _LISTS = f"""{sql_bm25("base", 20, "b")},
@@ -171,26 +174,26 @@ FROM (SELECT * FROM lists WHERE method = 'bm25') x FULL JOIN (SELECT * FROM list
 """
 
 
-def linear(spark, sf_dir):
-    return fusion.linear_fusion(ranked_lists(spark, sf_dir), _WEIGHTS)
+def linear(spark, sf_dir, stored=None):
+    return fusion.linear_fusion(ranked_lists(spark, sf_dir, stored=stored), _WEIGHTS)
 
 
 LINEAR_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(CASE method WHEN 'bm25' THEN 0.85 ELSE 0.15 END * normalized), {DIGITS}) AS score FROM normal GROUP BY query_id, key)
 {_TOP.format("fused")}"""
 
 
-def rrf(spark, sf_dir):
-    return fusion.rrf_fusion(ranked_lists(spark, sf_dir), ["bm25", "keyword"]).select("query_id", "key", "score", "sources", "rank")
+def rrf(spark, sf_dir, stored=None):
+    return fusion.rrf_fusion(ranked_lists(spark, sf_dir, stored=stored), ["bm25", "keyword"]).select("query_id", "key", "score", "sources", "rank")
 
 
 RRF_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(1.0::DOUBLE / ({V.RRF_K} + rank)), {DIGITS}) AS score, list(method ORDER BY method) AS sources FROM lists GROUP BY query_id, key)
 {_TOP.format("fused")}"""
 
 
-def two_stage(spark, sf_dir):
+def two_stage(spark, sf_dir, stored=None):
     """Twenty BM25 candidates, reranked by a stand-in scorer (how close the lengths are), best five."""
     texts = _docs(spark, sf_dir).select("doc_id", "text")
-    pairs = bm25_list(spark, sf_dir, 20).join(_queries(spark, sf_dir), "query_id").join(texts, "doc_id")
+    pairs = bm25_list(spark, sf_dir, 20, stored=stored).join(_queries(spark, sf_dir), "query_id").join(texts, "doc_id")
     score = lambda q, d: F.round(1 / (1.0 + F.abs(F.length(q) - F.length(d))), DIGITS)
     return retrieval.rerank(pairs, score, "query", "text", 5).select("query_id", "doc_id", "rank", "rerank_score", "rerank_rank")
 
@@ -248,12 +251,13 @@ def _both(spark, sf_dir):
     return docs, queries
 
 
-def _retrievers(docs: DataFrame) -> dict[str, hybrid.Retriever]:
+def _retrievers(docs: DataFrame, stored: index.Bm25Index | None = None) -> dict[str, hybrid.Retriever]:
     """BM25 over the texts, whose results know their language as chapter, and vector search, whose results know their source as section."""
     about = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("ch"), "lang").alias("chapter_id"), F.concat(F.lit("s"), "source").alias("section_id"))
 
     def bm25(queries, k):
-        return retrieval.bm25(queries, docs, k).withColumnRenamed("doc_id", "key").join(about.drop("section_id"), "key")
+        found = retrieval.bm25(queries, docs, k) if stored is None else stored.search(queries, k)
+        return found.withColumnRenamed("doc_id", "key").join(about.drop("section_id"), "key")
 
     def embedding(queries, k):
         found = retrieval.vector_search(queries, docs.withColumnRenamed("doc_id", "vec_id"), k)
@@ -267,9 +271,9 @@ def _flat(results: DataFrame) -> DataFrame:
     return results.withColumn("sources", F.array_join("sources", ",")).fillna(gaps).drop("summary")
 
 
-def hybrid_topk(spark, sf_dir):
+def hybrid_topk(spark, sf_dir, stored=None):
     docs, queries = _both(spark, sf_dir)
-    return _flat(hybrid.retrieve(_retrievers(docs), queries, "hybrid", 5))
+    return _flat(hybrid.retrieve(_retrievers(docs, stored), queries, "hybrid", 5))
 
 
 def hybrid_rerank(spark, sf_dir):
@@ -283,9 +287,9 @@ def hybrid_rerank(spark, sf_dir):
     return hybrid.retrieve(_retrievers(docs), queries, "hybrid_rerank", 5, score=score).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
 
 
-def hybrid_linear(spark, sf_dir):
+def hybrid_linear(spark, sf_dir, stored=None):
     docs, queries = _both(spark, sf_dir)
-    return hybrid.linear(_retrievers(docs), queries, 5).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
+    return hybrid.linear(_retrievers(docs, stored), queries, 5).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
 
 
 def observed(spark, sf_dir):

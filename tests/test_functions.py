@@ -1,10 +1,14 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.config import Config
 from tarn.functions import json_sections as J
 from tarn.functions import rules as R
 from tarn.functions import sections as S
 from tarn.functions import text as T
+from tarn.operators.chunking import pack
 
 
 def value(spark, column, **inputs):
@@ -122,3 +126,22 @@ def test_strict_parse():
     assert J.parse_strict('{"sentences":[]}') == []
     assert J.parse_strict(SENTENCE + " x") is None and J.parse_strict(SENTENCE.replace("[1]", "[true]")) is None
     assert J.balanced_objects('{"a":"}"} {b') == ['{"a":"}"}']
+
+
+def test_config():
+    assert Config.of({}) == Config()
+    made = Config.of({"TARN_SOURCE_K": "20", "TARN_RRF_K": "x", "TARN_CORPUS": " /data ", "TARN_LOCAL_FILES_ONLY": "false"})
+    assert (made.source_k, made.rrf_k, made.corpus, made.local_files_only) == (20, 60.0, "/data", False)
+
+
+def test_walks_are_linear(spark):
+    """Texts on which walking from each brace, quote, blank or unit anew would take hours."""
+    begun = time.time()
+    assert J.balanced_objects("{" * 200_000) == [] and len(J.balanced_objects("{}" * 100_000)) == 100_000
+    assert J.balanced_objects('{"a {": {"}": 1}} {') == ['{"a {": {"}": 1}}', '{": {"}', '{"}": 1}']
+    assert J.drop_stray_quotes('[{"a":1}, "{"b":2}]' + " " * 200_000) == ('[{"a":1}, {"b":2}]' + " " * 200_000, 1)
+    assert J.drop_stray_quotes('{"a": "},"} ,"{') == ('{"a": "},"} ,"{', 0)
+    rows = spark.createDataFrame([("a" + " " * 300_000 + "b \n",), ("\n\n".join(f"unit {i}" for i in range(30_000)),)], "t string")
+    got = rows.select(F.length(T.strip(F.col("t"))).alias("n"), F.size(pack(T.paragraphs(F.col("t")), 900)).alias("chunks")).collect()
+    assert got[0].n == 300_002 and got[1].chunks > 300
+    assert time.time() - begun < 60
