@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tarn.functions import fixed_values as V
 from tarn.functions import text as T
 from tarn.operators import evaluation as E
-from tarn.operators import fusion, hybrid, index, retrieval
+from tarn.operators import benchmark, fusion, hybrid, index, retrieval
 from tarn.operators.retrieval import DIGITS
 
 
@@ -325,6 +325,14 @@ def multi_metrics(spark, sf_dir):
     return E.hits_to_metrics(cases, ranked.select("case_id", "rank"), ranked.join(matches, ["case_id", "key"]).select("case_id", "rank", "evidence"))
 
 
+def benchmark_grid(spark, sf_dir):
+    """Both retrievers over all cases, with several evidences a case."""
+    docs, queries = _both(spark, sf_dir)
+    _, matches, cases = _case_lists(spark, sf_dir)
+    lists = hybrid.grid(_retrievers(docs), queries, 10).withColumnRenamed("query_id", "case_id")
+    return benchmark.results_of(lists, cases, matches)
+
+
 def _hybrid_sql(k: int) -> str:
     """Lists of k of both retrievers."""
     return f"""hdocs AS (SELECT d.doc_id, d.text, d.lang, d.source, e.embedding::DOUBLE[] AS x, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
@@ -374,6 +382,9 @@ SELECT query_id AS case_id, 'hit@' || k AS metric, CAST(hits > 0 AS DOUBLE) AS v
 UNION ALL SELECT query_id, 'recall_ref@' || k, CASE WHEN returned >= k THEN round(covered / n, {DIGITS}) ELSE 0 END FROM e UNION ALL SELECT query_id, 'ndcg@' || k, round(dcg / idcg, {DIGITS}) FROM e
 UNION ALL SELECT query_id, 'mrr', round(coalesce(1.0::DOUBLE / first, 0), {DIGITS}) FROM e WHERE k = 1 UNION ALL SELECT query_id, 'mrr@5', round(CASE WHEN first <= 5 THEN 1.0::DOUBLE / first ELSE 0 END, {DIGITS}) FROM e WHERE k = 1"""
 
+#: The same for both methods.
+GRID_SQL = "SELECT 'embedding' AS method, 1 AS method_order, * FROM (" + MULTI_SQL + ") UNION ALL SELECT 'bm25', 0, * FROM (" + MULTI_SQL.replace("WHERE method = 'embedding'),", "WHERE method = 'bm25'),") + ")"
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
@@ -522,6 +533,7 @@ QUERIES = {
     "retrieval_observation": (observed, OBSERVED_SQL),
     "candidate_coverage": (candidate_coverage, COVERAGE_SQL),
     "candidate_pool": (candidate_pool, POOL_SQL),
+    "benchmark_grid": (benchmark_grid, GRID_SQL),
     "retrieval_metrics_multi": (multi_metrics, MULTI_SQL),
     "rank_change": (rank_changes, RANK_CHANGE_SQL),
     "retrieval_metrics": (vector_metrics, f"WITH {_METRICS} SELECT case_id, metric, value FROM results"),

@@ -49,9 +49,10 @@ def upsert(new: DataFrame, path: str, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
-def write_vector_index(chunks: DataFrame, embed: Callable[[Column], Column], path: str, key: str = "source_id", text: str = "content") -> None:
-    """(key, embedding) and a one-row manifest of count and dimension."""
-    chunks.select(key, embed(F.col(text)).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
+def write_vector_index(chunks: DataFrame, embed: Callable[[Column], Column], path: str, key: str = "source_id", text: str | Column = "content", excluded: tuple[str, ...] = ()) -> None:
+    """(key, embedding) of chunks but those of excluded sources, and a one-row manifest of count and dimension."""
+    chunks = chunks.filter(~F.coalesce(F.col("source").isin(*excluded), F.lit(False))) if excluded else chunks
+    chunks.select(key, embed(F.col(text) if isinstance(text, str) else text).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
     vectors = chunks.sparkSession.read.parquet(f"{path}/vectors")
     manifest = vectors.agg(F.count("*").alias("count"), F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("min_dim"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

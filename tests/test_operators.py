@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.operators import chunking as C
 from tarn.operators import corpus_qa as Q
 from tarn.operators import evaluation as E
-from tarn.operators import fusion, hybrid, index, reports, retrieval, runs
+from tarn.operators import benchmark, fusion, hybrid, index, reports, retrieval, runs
 
 
 def test_bm25_by_hand(spark):
@@ -178,3 +178,20 @@ def test_vectors_of_string_ids(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", None)], "vec_id string, embedding array<double>")
     got = retrieval.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, 2, exclude_self=True).collect()
     assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [("a", "b", 0.8), ("b", "a", 0.8)]
+
+
+def test_benchmark_of_methods(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    ranked = lambda rows: (lambda q, k: spark.createDataFrame(rows, "query_id int, key string, score double, rank int").filter(F.col("rank") <= k))
+    methods = {"late": ranked([(1, "x", 2.0, 1), (1, "a", 1.0, 2), (2, "y", 1.0, 1)]), "first": ranked([(1, "a", 3.0, 1)])}
+    cases = spark.createDataFrame([(1, 1), (2, 1)], "case_id int, n_evidence int")
+    matches = spark.createDataFrame([(1, "a", 0)], "case_id int, key string, evidence int")
+    done = benchmark.run(methods, queries, cases, matches, 5)
+    value = {(r.method, r.case_id, r.metric): r.value for r in done.results.collect()}
+    assert value["late", 1, "mrr"] == 0.5 and value["first", 1, "mrr"] == 1.0 and value["first", 2, "hit@5"] == value["late", 2, "mrr"] == 0.0
+    assert {r.metric: r.best for r in done.best().collect()}["mrr"] == "first" and set(done.milliseconds) == {"late", "first"}
+    assert {r.metric: r.mean_delta for r in done.deltas("late").collect()}["mrr"] == 0.25
+    records = {(r.case_id, r.method): r for r in done.records({"k": 5}).collect()}
+    assert len(records) == 3 and [x.key for x in records[1, "late"].results] == ["x", "a"] and records[1, "first"].config.k == 5
+    assert done.summary(spark.createDataFrame([(1, "dev"), (2, "test")], "case_id int, split string")).filter("split = 'dev' and metric = 'mrr' and method = 'first'").first()["mean"] == 1.0
+    done.lists.unpersist()
