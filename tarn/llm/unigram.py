@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tarn.llm.common import col
 from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches
 
 MARK = "▁"
@@ -106,5 +106,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             arrays = [batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(np.diff(found.bounds)), pa.array(found.summed())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_chars", "n_words", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("__text"))
     return rows.mapInArrow(run, "id long, n_chars long, n_words long, n_tokens long")

@@ -89,3 +89,14 @@ def test_small_tables(spark):
     one = f.edited_fingerprints(spark.createDataFrame([(3, "abcdef")], "doc_id long, text string")).collect()
     assert [r.edited_sha256 for r in one] == [hashlib.sha256(b"abcdab").hexdigest()]
     assert f.fingerprints(spark.createDataFrame([(3, None)], "doc_id long, text string")).first().fingerprint == f.Fingerprint.of("").hex()
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    long = "a line of the text\n" * 60_000
+    rows = [(9, long), (5, "short"), (5, "short"), (1, long)]
+    got = f.edited_fingerprints(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[9][0].fingerprint == by[1][0].fingerprint == f.Fingerprint.of(long).hex() and by[9][0].n_chars == len(long)
+    assert sorted(r.near_next for r in by[5])[-1] == 1.0 and by[1][0].near_next == 1.0 and by[1][0].near_edited > 0.99

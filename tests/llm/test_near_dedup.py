@@ -140,14 +140,14 @@ def test_empty(spark):
     assert nd.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_links_of_fresh_blocks_are_verified(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,pairs", [(512, 60), (16, 60), (512, 290)])
+def test_links_of_fresh_blocks_are_verified(spark, monkeypatch, block, pairs):
     """A single true partner for each node, in families of many blocks whose other nodes are nearly as alike."""
     monkeypatch.setattr(nd, "BLOCK", block)
     rng = random.Random(7)
     base = [f"b{i}" for i in range(200)]
     rows = []
-    for _ in range(60):
+    for _ in range(pairs):
         half = list(base)
         for at in rng.sample(range(0, 200, 5), 5):
             half[at] = f"x{rng.random()}"

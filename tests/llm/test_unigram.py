@@ -34,3 +34,12 @@ def test_operator_equals_the_library(spark):
     got = {r.id: (r.n_tokens, r.n_chars) for r in u.token_counts(docs, PATH).collect()}
     assert got == {i: (len(t.encode(x or "", add_special_tokens=False).ids), len(x or "")) for i, x in enumerate(texts)}
     assert u.token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    long = "The quick brown fox  " * 50_000 + "x" * 20_000
+    rows = [(1, "same text"), (1, "same text"), (2, long), (None, "same text")]
+    t = library(u.pieces_of(PATH))
+    got = sorted((r.id or 0, r.n_tokens, r.n_chars) for r in u.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    assert got == sorted((i or 0, n(x), len(x)) for i, x in rows)
