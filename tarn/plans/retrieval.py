@@ -14,6 +14,7 @@ from tarn.functions import text as T
 from tarn.operators import evaluation as E
 from tarn.operators import benchmark, fusion, hybrid, index, retrieval
 from tarn.operators.retrieval import DIGITS
+from tarn.operators.scratch import materialize
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,9 @@ def _queries(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: Ids up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
+
 # --- SQL pieces ------------------------------------------------------------------------------------------------
 
 _KEYWORDS = "[" + ", ".join(f"'{k}'" for k in T.KEYWORDS) + "]"
@@ -244,9 +248,11 @@ def indexed(spark, sf_dir):
 
 
 def _both(spark, sf_dir):
-    """Documents that have a vector; every twentieth is a query by text and vector."""
+    """Documents that have a vector; every twentieth is a query by text and vector. The texts of others aren't shuffled."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    docs = _docs(spark, sf_dir).join(v, "doc_id")
+    ids = v.select("doc_id")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    docs = _docs(spark, sf_dir).join(few, "doc_id", "left_semi").join(v, "doc_id")
     queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding", "label")
     return docs, queries
 
@@ -301,11 +307,17 @@ def observed(spark, sf_dir):
 def _case_lists(spark, sf_dir, k=50):
     """Lists of both retrievers; a result of the query's label holds its language as evidence."""
     docs, queries = _both(spark, sf_dir)
-    lists = hybrid.ranked_lists(_retrievers(docs), queries, k).withColumnRenamed("query_id", "case_id")
+    lists = materialize(hybrid.ranked_lists(_retrievers(docs), queries, k).withColumnRenamed("query_id", "case_id"), "lists")
+    return lists, *_evidence(docs, queries, lists)
+
+
+def _evidence(docs, queries, lists):
+    """Evidence that the results in ``lists`` hold, and the number that each case has; the pairs of a case and a document that no list has are never made."""
     label = queries.select(F.col("query_id").alias("case_id"), "label")
-    matches = label.join(docs.select("label", F.col("doc_id").alias("key"), F.col("lang").alias("evidence")), "label").drop("label")
-    cases = matches.groupBy("case_id").agg(F.count_distinct("evidence").cast("int").alias("n_evidence"))
-    return lists, matches, cases
+    held = docs.select(F.col("doc_id").alias("key"), "label", F.col("lang").alias("evidence"))
+    matches = lists.select("case_id", "key").distinct().join(label, "case_id").join(held, ["key", "label"]).select("case_id", "key", "evidence")
+    cases = label.join(held.groupBy("label").agg(F.count_distinct("evidence").cast("int").alias("n_evidence")), "label").select("case_id", "n_evidence")
+    return matches, cases
 
 
 def candidate_coverage(spark, sf_dir):
@@ -328,8 +340,8 @@ def multi_metrics(spark, sf_dir):
 def benchmark_grid(spark, sf_dir):
     """Both retrievers over all cases, with several evidences a case."""
     docs, queries = _both(spark, sf_dir)
-    _, matches, cases = _case_lists(spark, sf_dir)
-    lists = hybrid.grid(_retrievers(docs), queries, 10).withColumnRenamed("query_id", "case_id")
+    lists = materialize(hybrid.grid(_retrievers(docs), queries, 10).withColumnRenamed("query_id", "case_id"), "grid")
+    matches, cases = _evidence(docs, queries, lists)
     return benchmark.results_of(lists, cases, matches)
 
 
@@ -435,6 +447,7 @@ def _two_methods(spark, sf_dir):
         ranked = bm25_list(spark, sf_dir, 5, mode).join(cases, "query_id").join(texts, "doc_id")
         wanted, there = (T.normalize_evidence(F.col(c), compose=False) for c in ("query", "text"))
         hits = ranked.filter((wanted != "") & F.contains(there, wanted)).select(F.col("query_id").alias("case_id"), "rank", F.lit(0).alias("evidence"))
+        hits = materialize(hits, "hits")  # k rows a case at most; the metrics read them several times
         rows = E.hits_to_metrics(cases.select(F.col("query_id").alias("case_id"), F.lit(1).alias("n_evidence")), ranked.select(F.col("query_id").alias("case_id"), "rank"), hits, (1, 5))
         rows = rows.withColumns({"method": F.lit(name), "method_order": F.lit(order)})
         out = rows if out is None else out.unionByName(rows)
