@@ -5,12 +5,16 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from tarn.functions import fixed_values as V
+from tarn.functions.fixed_values import CJK
 
 KEYWORDS = [k.lower() for words in V.TOPIC_KEYWORDS.values() for k in words]
 
@@ -109,6 +113,15 @@ def normalize_evidence(text: Column, compose: bool = True) -> Column:
     return F.regexp_replace(F.lower(nfkc(text) if compose else text), f"[^0-9a-z{V.CJK}]+", "")
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def evidence_lines(lowered: pa.Array) -> pa.Array:
+    """The lines of lower-case texts, each as ``normalize_evidence`` without composition has it; many times faster than the JVM's patterns."""
+    lists = pc.split_pattern(lowered, "\n")
+    kept = pc.replace_substring_regex(lists.flatten(), f"[^0-9a-z{CJK}]+", "")
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), kept, mask=lists.is_null())
+
+
 def evidence_units(evidence: Column) -> Column:
     """The sentences of its paragraphs; without any, the whole."""
     units = F.filter(F.flatten(F.transform(paragraphs(evidence), lambda p: sentences(p))), lambda s: s != "")

@@ -443,11 +443,11 @@ SELECT case_id, 0 AS evidence, array_to_string(p[len(p) // 2 + 1:], chr(10) || c
 
 def evidence_match(spark, sf_dir):
     """Lines of each document held against the whole of it and of the document before, normalised."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    units = F.filter(F.transform(F.split("text", "\n"), lambda u: T.normalize_evidence(u, compose=False)), lambda u: u != "")
-    held = T.let(T.normalize_evidence(F.col("other"), compose=False), lambda c: F.struct(((c != "") & F.contains(c, T.normalize_evidence(F.col("text"), compose=False))).alias("whole"), F.size(F.filter(units, lambda u: F.contains(c, u))).cast("long").alias("lines")))
-    return pairs.select("doc_id", held.alias("m")).select("doc_id", "m.whole", "m.lines")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", T.evidence_lines(F.lower("text")).alias("own"))
+    # A text is normalised once, before the join: without the line ends, which go, it is its lines.
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.array_join("own", "").alias("other")), "doc_id")
+    whole = (F.col("other") != "") & F.contains("other", F.array_join("own", ""))
+    return pairs.select("doc_id", whole.alias("whole"), F.size(F.filter("own", lambda u: (u != "") & F.contains(F.col("other"), u))).cast("long").alias("lines"))
 
 
 _N = "regexp_replace(lower({}), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')"

@@ -44,3 +44,35 @@ def test_evidence_of_listed_results_only(spark):
     docs, queries = plans._both(spark, SF)
     n = docs.groupBy("label").agg(F.count_distinct("lang").alias("n"))
     assert {r.case_id: r.n_evidence for r in cases.collect()} == {r.query_id: r.n for r in queries.join(n, "label").collect()}
+
+
+def test_evidence_lines(spark):
+    from tarn.functions import text as T
+
+    texts = ["Ab-c\n\n x1 ÄÖ客户\r\n", "", None, "ΑΣ\nİi!", "\n", "𝔸b c"]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, t string").repartition(1)
+    want = F.transform(F.split("t", "\n"), lambda u: T.normalize_evidence(u, compose=False))
+    assert all(r.a == r.b for r in rows.select(T.evidence_lines(F.lower("t")).alias("a"), want.alias("b")).collect())
+
+
+def test_evidence_match_normalises_once(spark):
+    from tarn.plans import corpus
+
+    assert "regexp_replace" not in _plan(corpus.evidence_match(spark, SF))
+
+
+def test_semantic_chunks_embed_bounded_pieces(spark, tmp_path):
+    from tarn.functions import sections as S
+    from tarn.operators import chunking as C
+
+    def embed(units):
+        with open(tmp_path / "calls", "a") as f:
+            f.write(f"{sum(map(len, units))} {len(units)}\n")
+        return S.hashed_embedding(units)
+
+    docs = spark.createDataFrame([(i, "# a\n" + "Some words of a sentence here. " * 4000, "t") for i in range(12)], "doc_id long, text string, title string").repartition(1)
+    found = C.section_semantic(docs, embed).select("doc_id", "chunk_index", "content").collect()
+    calls = [tuple(map(int, x.split())) for x in (tmp_path / "calls").read_text().splitlines()]
+    assert max(n for n, _ in calls) <= 500_000 and sum(n for _, n in calls) == 12 * 4000
+    want = S.semantic_chunks(units := S.semantic_units("Some words of a sentence here. " * 4000), [1.0] * (len(units) - 1), C.V.SEMANTIC_MIN, C.V.TARGET_CHARS, C.V.MAX_CHARS, C.V.SEMANTIC_BREAK)
+    assert {r.doc_id for r in found} == set(range(12)) and [r.content for r in sorted(found, key=lambda r: r.chunk_index) if r.doc_id == 3] == want
