@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,18 @@ def parse_sections(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, section_order int, {_SECTION}, body_lines array<string>")
 
 
-#: Sentences that are embedded in one call, and texts that are split together.
-EMBED_AT_ONCE, DOCS_AT_ONCE = 50_000, 512
+#: Sentences that are embedded in one call, texts that are split together, and characters up to which either is (or a single longer one).
+EMBED_AT_ONCE, DOCS_AT_ONCE, CHARS_AT_ONCE = 50_000, 512, 500_000
+
+
+def _cuts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``most`` items and ``CHARS_AT_ONCE`` characters, of one item at least."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = min(at + most, max(at + 1, int(np.searchsorted(ends, done + CHARS_AT_ONCE, side="right"))))
+        yield at, to
+        at = to
 
 
 def _from_sections(docs: DataFrame, split: Callable[[list[S.Section]], list[list[str]]]) -> DataFrame:
@@ -99,8 +110,8 @@ def _from_sections(docs: DataFrame, split: Callable[[list[S.Section]], list[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, DOCS_AT_ONCE):
-                batch = whole.slice(first, DOCS_AT_ONCE)
+            for first, to in _cuts(pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_numpy(), DOCS_AT_ONCE):
+                batch = whole.slice(first, to - first)
                 found = [(d, s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in S.parse_sections((t or "").splitlines())]
                 pieces = split([s for _, s in found])
                 rows = [(d, *(getattr(s, n) for n in names), len(p), i, c) for (d, s), p in zip(found, pieces, strict=True) for i, c in enumerate(p)]
@@ -145,7 +156,7 @@ def section_semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] =
     def split(sections: list[S.Section]) -> list[list[str]]:
         units = [S.semantic_units(s.body) for s in sections]
         flat = [u for own in units for u in own]
-        vectors = [embed(flat[i : i + EMBED_AT_ONCE]) for i in range(0, len(flat), EMBED_AT_ONCE)]
+        vectors = [embed(flat[a:b]) for a, b in _cuts(np.fromiter(map(len, flat), np.int64, len(flat)), EMBED_AT_ONCE)]
         vectors = np.concatenate(vectors).astype(np.float64) if flat else np.zeros((0, 1))
         similar = np.einsum("ij,ij->i", vectors[:-1], vectors[1:])
         out, at = [], 0
