@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tarn.functions import fixed_values as V
 from tarn.functions import text as T
@@ -27,6 +27,8 @@ from tarn.operators.retrieval import DIGITS, idf, top_k
 BLOCK_DOCS, QUERY_ROWS = 16384, 200_000
 #: Distinct query terms up to which they are pushed down to the scan of the postings.
 PUSHED_TERMS = 200
+#: Rows of postings that leave a task together.
+TERMS_AT_ONCE = 20_000
 
 
 @dataclass
@@ -60,11 +62,68 @@ class Bm25Index:
 
 
 def postings_of(docs: DataFrame, doc_id: str, text: Column, blocks: int) -> DataFrame:
-    """(block, term, ids, tfs, lengths): a row for each block and term."""
-    each = docs.select(F.col(doc_id).alias("id"), T.tokens(text).alias("terms")).select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    counted = each.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    entries = counted.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "term").agg(F.collect_list(F.struct("id", "tf", "length")).alias("e"))  # BLOCK_DOCS or so
-    return entries.select("block", "term", F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("lengths"))
+    """(block, term, ids, tfs, lengths): a row for each block and term.
+
+    Terms are counted where the documents are; a row for each document crosses one shuffle, and a task inverts whole blocks.
+    """
+    counted = _counted(docs.select(F.col(doc_id).alias("id"), T.tokens(text).alias("terms")))
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block", "id")
+    kind = counted.schema["id"].dataType
+
+    def inverted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names, lists = (table.column(c).combine_chunks() for c in ("id", "terms"))
+        names, words, sizes = names.dictionary_encode(null_encoding="encode"), lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy()
+        rank = np.empty(len(words.dictionary), np.int64)
+        by_term = pc.sort_indices(words.dictionary)
+        rank[by_term.to_numpy()] = np.arange(len(rank))
+        own, n = names.indices.to_numpy(), len(names.dictionary)
+        pairs, at = np.unique(rank[words.indices.to_numpy()] * n + np.repeat(own, sizes), return_inverse=True)  # rows of the same id are one document
+        tf = np.bincount(at, table.column("tfs").combine_chunks().flatten().to_numpy(), len(pairs)).astype(np.int32)
+        first = np.unique(own, return_index=True)[1]
+        length = table.column("length").to_numpy()[first].astype(np.int32)
+        cuts = np.searchsorted(pairs, np.arange(len(rank) + 1) * n)
+        doc, terms, block = pairs % n, words.dictionary.take(by_term), table.column("block")[0].as_py()
+        for a in range(0, len(rank), TERMS_AT_ONCE):
+            b = min(len(rank), a + TERMS_AT_ONCE)
+            some, offsets = slice(cuts[a], cuts[b]), pa.array((cuts[a : b + 1] - cuts[a]).astype(np.int32))
+            each = [pa.ListArray.from_arrays(offsets, x) for x in (names.dictionary.take(pa.array(doc[some])), pa.array(tf[some]), pa.array(length[doc[some]]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block, np.int32)), terms[a:b], *each], ["block", "term", "ids", "tfs", "lengths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and block[a] != current:
+                    yield from inverted(pa.Table.from_batches(held))
+                    held = []
+                current = block[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from inverted(pa.Table.from_batches(held))
+
+    fields = [("block", IntegerType()), ("term", StringType()), ("ids", ArrayType(kind)), ("tfs", ArrayType(IntegerType())), ("lengths", ArrayType(IntegerType()))]
+    return dealt.mapInArrow(run, StructType([StructField(*f) for f in fields]))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, length, terms, tfs) of docs (id, terms): the distinct terms of each document, and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            length, words = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+            wide = max(1, len(words.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), length) * wide + words.indices.to_numpy(), return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(batch.num_rows + 1) * wide).astype(np.int32))
+            each = [pa.ListArray.from_arrays(offsets, x) for x in (words.dictionary.take(pa.array(pairs % wide)), pa.array(tf.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(length.astype(np.int64)), *each], ["id", "length", "terms", "tfs"])
+
+    fields = [("id", docs.schema["id"].dataType), ("length", LongType()), ("terms", ArrayType(StringType())), ("tfs", ArrayType(IntegerType()))]
+    return docs.mapInArrow(run, StructType([StructField(*f) for f in fields]))
 
 
 def write_bm25_index(docs: DataFrame, path: str, doc_id: str = "doc_id", doc_text: str | Column = "text") -> None:
@@ -74,7 +133,7 @@ def write_bm25_index(docs: DataFrame, path: str, doc_id: str = "doc_id", doc_tex
     n = docs.select(F.col(doc_id)).count()
     blocks = max(1, -(-n // BLOCK_DOCS))
     rows = postings_of(docs, doc_id, text, blocks)
-    rows.repartitionByRange("block", "term").sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
     size = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
     terms = written.groupBy("term").agg(F.sum(F.size("ids").cast("long")).alias("df"), F.sum(size).alias("total_tf"))

@@ -76,3 +76,15 @@ def test_semantic_chunks_embed_bounded_pieces(spark, tmp_path):
     assert max(n for n, _ in calls) <= 500_000 and sum(n for _, n in calls) == 12 * 4000
     want = S.semantic_chunks(units := S.semantic_units("Some words of a sentence here. " * 4000), [1.0] * (len(units) - 1), C.V.SEMANTIC_MIN, C.V.TARGET_CHARS, C.V.MAX_CHARS, C.V.SEMANTIC_BREAK)
     assert {r.doc_id for r in found} == set(range(12)) and [r.content for r in sorted(found, key=lambda r: r.chunk_index) if r.doc_id == 3] == want
+
+
+def test_index_inverts_blocks_after_one_shuffle(spark):
+    from tarn.operators import index
+
+    texts = [*_words(200, 3), None, ""]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = index.postings_of(docs, "doc_id", F.col("text"), 3)
+    assert _plan(rows).count("Repartition") <= 2 and "Aggregate" not in _plan(rows)
+    got = {(p.term, i): (tf, n) for p in rows.collect() for i, tf, n in zip(p.ids, p.tfs, p.lengths, strict=True)}
+    want = {(r.term, r.id): (r.tf, r.length) for r in retrieval.postings(docs, "doc_id", F.col("text")).collect()}
+    assert got == want
