@@ -89,7 +89,9 @@ def metadata_search_text(record: dict[str, Column], weighted: bool = True) -> Co
 
 def document_text(*parts: Column) -> Column:
     """Non-empty parts, stripped, as lines: what BM25 indexes."""
-    return F.concat_ws("\n", *[strip(F.nullif(p, F.lit(""))) for p in parts])
+    # The pattern visits each character; most texts end in none that it would take.
+    ends = lambda p: F.concat(F.substring(p, 1, 1), F.substring(p, -1, 1)).rlike(r"(?U)\s")
+    return F.concat_ws("\n", *[F.when(ends(p), strip(p)).otherwise(F.nullif(p, F.lit(""))) for p in parts])
 
 
 def sentences(text: Column, pattern: str = V.SENTENCE) -> Column:

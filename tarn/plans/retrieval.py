@@ -247,6 +247,12 @@ def indexed(spark, sf_dir):
     return index.read_bm25_index(spark, path).search(_queries(spark, sf_dir), 5)
 
 
+def _texts_of(ranked, spark, sf_dir):
+    """(doc_id, text) of ranked documents: texts of others aren't shuffled."""
+    ids = ranked.select("doc_id").distinct()
+    return _docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _both(spark, sf_dir):
     """Documents that have a vector; every twentieth is a query by text and vector. The texts of others aren't shuffled."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
@@ -441,14 +447,15 @@ SELECT method, metric, topic, split, round(avg(value), 6) AS mean, count(*) AS c
 
 def _two_methods(spark, sf_dir):
     """Results of BM25 without and with metadata: a document is relevant if it contains the passage."""
-    texts, cases = _docs(spark, sf_dir).select("doc_id", "text"), _queries(spark, sf_dir)
+    cases = _queries(spark, sf_dir)
     out = None
     for order, (name, mode) in enumerate((("base", "base"), ("metadata", "metadata"))):
-        ranked = bm25_list(spark, sf_dir, 5, mode).join(cases, "query_id").join(texts, "doc_id")
+        found = bm25_list(spark, sf_dir, 5, mode)
+        ranked = found.join(cases, "query_id").join(_texts_of(found, spark, sf_dir), "doc_id")
         wanted, there = (T.normalize_evidence(F.col(c), compose=False) for c in ("query", "text"))
         hits = ranked.filter((wanted != "") & F.contains(there, wanted)).select(F.col("query_id").alias("case_id"), "rank", F.lit(0).alias("evidence"))
         hits = materialize(hits, "hits")  # k rows a case at most; the metrics read them several times
-        rows = E.hits_to_metrics(cases.select(F.col("query_id").alias("case_id"), F.lit(1).alias("n_evidence")), ranked.select(F.col("query_id").alias("case_id"), "rank"), hits, (1, 5))
+        rows = E.hits_to_metrics(cases.select(F.col("query_id").alias("case_id"), F.lit(1).alias("n_evidence")), found.select(F.col("query_id").alias("case_id"), "rank"), hits, (1, 5))
         rows = rows.withColumns({"method": F.lit(name), "method_order": F.lit(order)})
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -503,8 +510,9 @@ DISTRIBUTION_SQL = f"""WITH {_TWO} SELECT method, metric, round(avg(value), 6) A
 
 
 def coverage(spark, sf_dir):
-    texts = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
-    ranked = bm25_list(spark, sf_dir).join(texts, "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content")
+    found = bm25_list(spark, sf_dir)
+    texts = _texts_of(found, spark, sf_dir).withColumnRenamed("text", "content")
+    ranked = materialize(found.join(texts, "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content"), "contents")
     gold = _queries(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.lit(0).alias("evidence"), F.col("query").alias("text"))
     return E.evidence_coverage(ranked, gold, 5, compose=False)
 

@@ -88,3 +88,18 @@ def test_index_inverts_blocks_after_one_shuffle(spark):
     got = {(p.term, i): (tf, n) for p in rows.collect() for i, tf, n in zip(p.ids, p.tfs, p.lengths, strict=True)}
     want = {(r.term, r.id): (r.tf, r.length) for r in retrieval.postings(docs, "doc_id", F.col("text")).collect()}
     assert got == want
+
+
+def test_document_text_strips_only_where_needed(spark):
+    from tarn.functions import text as T
+
+    texts = ["a b", " a\n", "　a", "a ", "", None, " ", "\n\t", "a "]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, t string")
+    want = F.concat_ws("\n", T.strip(F.nullif("t", F.lit(""))))
+    assert all(r.a == r.b for r in rows.select(T.document_text(F.col("t")).alias("a"), want.alias("b")).collect())
+    assert "substring" in _plan(rows.select(T.document_text(F.col("t"))))
+
+
+def test_only_ranked_texts_are_joined(spark):
+    found = plans.bm25_list(spark, SF)
+    assert {r.doc_id for r in plans._texts_of(found, spark, SF).collect()} == {r.doc_id for r in found.collect()}
