@@ -103,3 +103,53 @@ def test_document_text_strips_only_where_needed(spark):
 def test_only_ranked_texts_are_joined(spark):
     found = plans.bm25_list(spark, SF)
     assert {r.doc_id for r in plans._texts_of(found, spark, SF).collect()} == {r.doc_id for r in found.collect()}
+
+
+def _found(texts, vocabulary):
+    import pyarrow as pa
+
+    length, row, place = retrieval.find_tokens(pa.array(["xyz客", *texts])[1:], pa.array(vocabulary, pa.string()))
+    return length.tolist(), sorted((i, vocabulary[p]) for i, p in zip(row.tolist(), place.tolist(), strict=True))
+
+
+def test_tokens_are_found_in_bytes(spark):
+    from tarn.functions import text as T
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcKpi客户增长 \nñ一鿿㐀é😀K.") for _ in range(r.choice([0, 1, 3, 8, 40]))) for _ in range(200)]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", F.lower("t").alias("t"), T.tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    vocabulary = sorted({w for x in rows for w in x.w if r.random() < 0.7} | {"zzz"})
+    length, found = _found([x.t for x in rows], vocabulary)
+    assert length == [len(x.w) for x in rows] and found == sorted((x.i, w) for x in rows for w in x.w if w in vocabulary)
+    assert _found([], ["abc"]) == ([], []) and _found(["abc", "def"], []) == ([1, 1], [])
+
+
+def test_search_sends_k_rows_of_each_part(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PARTS", 3)
+    sent = []
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, *rest, top=retrieval.top_k: (sent.append(scored.count()), top(scored, *rest))[1])
+    docs = spark.createDataFrame([*enumerate(_words(400, 1, 6))], "doc_id long, text string").repartition(40).cache()
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(_words(10, 2, 6))], "query_id string, query string")
+    retrieval.bm25(queries, docs, 2)
+    vectors = docs.select("doc_id", F.array(F.cos("doc_id"), F.sin("doc_id")).alias("embedding"))
+    retrieval.vector_search(vectors.filter("doc_id < 10").withColumnRenamed("doc_id", "query_id"), vectors, 2, "doc_id")
+    assert len(sent) == 2 and max(sent) <= 10 * 2 * 3
+
+
+def test_blocks_and_groups_of_vectors(spark, monkeypatch):
+    vectors = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id"), F.lit(0.0)).alias("embedding")).repartition(5)
+    queries = vectors.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    run = lambda: sorted(map(tuple, retrieval.vector_search(queries, vectors, 4, exclude_self=True).collect()))
+    want = run()
+    for name, value in (("VECTOR_BLOCK", 7), ("VECTOR_VALUES", 50), ("RESULT_ROWS", 40)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert run() == want
+
+
+def test_lexical_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([*enumerate(_words(300, 1)), (300, None), (301, "")], "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(_words(20, 2))], "query_id string, query string")
+    want = sorted(map(tuple, retrieval.bm25(queries, docs, 7).collect()))
+    for name, value in (("BYTES_AT_ONCE", 60), ("TOKENS_AT_ONCE", 9), ("RESULT_ROWS", 50)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert sorted(map(tuple, retrieval.bm25(queries, docs, 7).collect())) == want
