@@ -49,7 +49,7 @@ def main() -> None:
     queries, seconds, folder = registry.queries(), {}, tempfile.mkdtemp(prefix="tarn-bench-")
     spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text))").collect()  # start the workers
     for name, searches in INDEXED.items():
-        docs = retrieval._both(spark, sf_dir)[0] if name == "with_vectors" else retrieval._docs(spark, sf_dir)
+        docs = retrieval._vector_texts(spark, sf_dir) if name == "with_vectors" else retrieval._docs(spark, sf_dir)
         begun = time.time()
         index.write_bm25_index(docs, f"{folder}/{name}", doc_text=retrieval.document_text("weighted" if name == "weighted" else "base"))
         seconds[f"index_build_{name}"] = round(time.time() - begun, 3)

@@ -196,8 +196,8 @@ RRF_SQL = f"""WITH {_LISTS}, fused AS (SELECT query_id, key, round(sum(1.0::DOUB
 
 def two_stage(spark, sf_dir, stored=None):
     """Twenty BM25 candidates, reranked by a stand-in scorer (how close the lengths are), best five."""
-    texts = _docs(spark, sf_dir).select("doc_id", "text")
-    pairs = bm25_list(spark, sf_dir, 20, stored=stored).join(_queries(spark, sf_dir), "query_id").join(texts, "doc_id")
+    found = bm25_list(spark, sf_dir, 20, stored=stored)
+    pairs = found.join(_queries(spark, sf_dir), "query_id").join(_texts_of(found, spark, sf_dir), "doc_id")
     score = lambda q, d: F.round(1 / (1.0 + F.abs(F.length(q) - F.length(d))), DIGITS)
     return retrieval.rerank(pairs, score, "query", "text", 5).select("query_id", "doc_id", "rank", "rerank_score", "rerank_rank")
 
@@ -253,22 +253,28 @@ def _texts_of(ranked, spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _vector_texts(spark, sf_dir):
+    """(doc_id, text) of documents that have a vector; texts aren't shuffled."""
+    ids = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return _docs(spark, sf_dir).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _both(spark, sf_dir):
-    """Documents that have a vector; every twentieth is a query by text and vector. The texts of others aren't shuffled."""
+    """Documents that have a vector, without their texts but for their lengths; every twentieth is a query by text and vector."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    ids = v.select("doc_id")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    docs = _docs(spark, sf_dir).join(few, "doc_id", "left_semi").join(v, "doc_id")
-    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "embedding", "label")
-    return docs, queries
+    docs = _vector_texts(spark, sf_dir).select("doc_id", "lang", "source", F.length("text").alias("n_chars")).join(v, "doc_id")
+    docs = materialize(docs, "with-vectors")  # a short row each; every retriever and metric reads it
+    every = lambda rows: rows.filter("doc_id % 20 = 0")
+    queries = every(_vector_texts(spark, sf_dir)).select("doc_id", F.col("text").alias("query")).join(every(docs).select("doc_id", "embedding", "label"), "doc_id")
+    return docs, queries.withColumnRenamed("doc_id", "query_id")
 
 
-def _retrievers(docs: DataFrame, stored: index.Bm25Index | None = None) -> dict[str, hybrid.Retriever]:
-    """BM25 over the texts, whose results know their language as chapter, and vector search, whose results know their source as section."""
+def _retrievers(docs: DataFrame, texts: DataFrame, stored: index.Bm25Index | None = None) -> dict[str, hybrid.Retriever]:
+    """BM25 over the texts (doc_id, text) of docs, whose results know their language as chapter, and vector search, whose results know their source as section."""
     about = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("ch"), "lang").alias("chapter_id"), F.concat(F.lit("s"), "source").alias("section_id"))
 
     def bm25(queries, k):
-        found = retrieval.bm25(queries, docs, k) if stored is None else stored.search(queries, k)
+        found = retrieval.bm25(queries, texts, k) if stored is None else stored.search(queries, k)
         return found.withColumnRenamed("doc_id", "key").join(about.drop("section_id"), "key")
 
     def embedding(queries, k):
@@ -285,7 +291,7 @@ def _flat(results: DataFrame) -> DataFrame:
 
 def hybrid_topk(spark, sf_dir, stored=None):
     docs, queries = _both(spark, sf_dir)
-    return _flat(hybrid.retrieve(_retrievers(docs, stored), queries, "hybrid", 5))
+    return _flat(hybrid.retrieve(_retrievers(docs, _vector_texts(spark, sf_dir), stored), queries, "hybrid", 5))
 
 
 def hybrid_rerank(spark, sf_dir):
@@ -293,27 +299,27 @@ def hybrid_rerank(spark, sf_dir):
     docs, queries = _both(spark, sf_dir)
 
     def score(candidates):
-        pairs = candidates.join(queries.select("query_id", F.length("query").alias("a")), "query_id").join(docs.select(F.col("doc_id").alias("key"), F.length("text").alias("b")), "key")
+        pairs = candidates.join(queries.select("query_id", F.length("query").alias("a")), "query_id").join(docs.select(F.col("doc_id").alias("key"), F.col("n_chars").alias("b")), "key")
         return pairs.withColumn("rerank_score", F.round(1 / (1.0 + F.abs(F.col("a") - F.col("b"))), DIGITS)).drop("a", "b")
 
-    return hybrid.retrieve(_retrievers(docs), queries, "hybrid_rerank", 5, score=score).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
+    return hybrid.retrieve(_retrievers(docs, _vector_texts(spark, sf_dir)), queries, "hybrid_rerank", 5, score=score).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
 
 
 def hybrid_linear(spark, sf_dir, stored=None):
     docs, queries = _both(spark, sf_dir)
-    return hybrid.linear(_retrievers(docs, stored), queries, 5).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
+    return hybrid.linear(_retrievers(docs, _vector_texts(spark, sf_dir), stored), queries, 5).select("query_id", "key", "rank", "score", "retrieval_method", F.array_join("sources", ",").alias("sources"))
 
 
 def observed(spark, sf_dir):
     docs, queries = _both(spark, sf_dir)
-    seen = hybrid.observation(hybrid.retrieve(_retrievers(docs), queries, "hybrid", 5))
+    seen = hybrid.observation(hybrid.retrieve(_retrievers(docs, _vector_texts(spark, sf_dir)), queries, "hybrid", 5))
     return seen.select("query_id", "status", "chunk_count", "top_score", "top_embedding_score", F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["retrieval_method"], F.coalesce(c["keyword_rank"], F.lit(0)).cast("string"))), ",").alias("chunks"))
 
 
 def _case_lists(spark, sf_dir, k=50):
     """Lists of both retrievers; a result of the query's label holds its language as evidence."""
     docs, queries = _both(spark, sf_dir)
-    lists = materialize(hybrid.ranked_lists(_retrievers(docs), queries, k).withColumnRenamed("query_id", "case_id"), "lists")
+    lists = materialize(hybrid.ranked_lists(_retrievers(docs, _vector_texts(spark, sf_dir)), queries, k).withColumnRenamed("query_id", "case_id"), "lists")
     return lists, *_evidence(docs, queries, lists)
 
 
@@ -346,7 +352,7 @@ def multi_metrics(spark, sf_dir):
 def benchmark_grid(spark, sf_dir):
     """Both retrievers over all cases, with several evidences a case."""
     docs, queries = _both(spark, sf_dir)
-    lists = materialize(hybrid.grid(_retrievers(docs), queries, 10).withColumnRenamed("query_id", "case_id"), "grid")
+    lists = materialize(hybrid.grid(_retrievers(docs, _vector_texts(spark, sf_dir)), queries, 10).withColumnRenamed("query_id", "case_id"), "grid")
     matches, cases = _evidence(docs, queries, lists)
     return benchmark.results_of(lists, cases, matches)
 

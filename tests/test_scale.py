@@ -153,3 +153,11 @@ def test_lexical_blocks(spark, monkeypatch):
     for name, value in (("BYTES_AT_ONCE", 60), ("TOKENS_AT_ONCE", 9), ("RESULT_ROWS", 50)):
         monkeypatch.setattr(retrieval, name, value)
         assert sorted(map(tuple, retrieval.bm25(queries, docs, 7).collect())) == want
+
+
+def test_hybrid_shuffles_no_text(spark):
+    docs, queries = plans._both(spark, SF)
+    assert "text" not in docs.columns and {"doc_id", "lang", "source", "n_chars", "embedding", "label"} == set(docs.columns)
+    texts = {r.doc_id: r.text for r in plans._vector_texts(spark, SF).collect()}
+    assert {r.doc_id: r.n_chars for r in docs.collect()} == {i: len(t) for i, t in texts.items()}
+    assert {r.query_id: r["query"] for r in queries.collect()} == {i: t for i, t in texts.items() if i % 20 == 0}
