@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarn.llm.common import col
-from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, returning, small_batches, spaced
 
 WORD_END = "</w>"
 _NEVER = np.int64(1) << 40
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns.append(pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in found.joined(1)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returning(run), schema)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import col, discard, fresh, materialize, settled, skew_join
 from tarn.llm.components import components
-from tarn.llm.tokens import ChunkCache, Chunked, held_cache, small_batches, spaced, trim
+from tarn.llm.tokens import ChunkCache, Chunked, held_cache, returning, small_batches, spaced
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -162,7 +162,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["row", "id", "digest", "size", "signature"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long"), F.col("text").alias("__text"))
-    return rows.mapInArrow(run, "row long, id long, digest binary, size long, signature binary")
+    return rows.mapInArrow(returning(run), "row long, id long, digest binary, size long, signature binary")
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(Bags(texts, cache).of_each(), pa.binary())], ["node", "bag"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").alias("__text")).select("node", spot.alias("spot"), "__text")
-    return rows.mapInArrow(run, "node long, bag binary").join(wanted, "node", "left_semi")
+    return rows.mapInArrow(returning(run), "node long, bag binary").join(wanted, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -209,9 +209,8 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
                 elif likeness(leader, bag.as_buffer()) >= LIKENESS:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        trim()
 
-    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(returning(run), "a long, b long")
 
 
 def _shared(bags: list[memoryview], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +305,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
     if held:
         yield flush()
-    trim()
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -374,7 +372,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialize(families.join(parts, "node").join(one.select("node", "size"), "node"), "families")
     discard(pairs, buckets, shared, wanted)
     rows = _dealt(members).join(bags, "node").select("block", "side", "node", "component", "bag")
-    links = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked, "a long, b long")
+    links = rows.repartition("block").sortWithinPartitions("block").mapInArrow(returning(_linked), "a long, b long")
     parts = _merged(parts, materialize(links.distinct(), "links1"), "components1")
     discard(bags, members)
     classed = materialize(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tarn.llm.common import col, discard, fresh, materialize, text_or_empty
-from tarn.llm.tokens import release
+from tarn.llm.tokens import release, returning
 
 #: Rows of each label that the dictionaries and the curve are fitted on, and windows of a dictionary row that the driver gets.
 DICTIONARY_ROWS, CALIBRATION_ROWS, TEXT_WINDOWS = 600, 1000, 16
@@ -165,4 +165,4 @@ def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", score
             scores = [model.score(sizes.difference(x.as_py() or "")) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{score_col}` double").fields]))
+    return docs.mapInArrow(returning(run), StructType([*docs.schema.fields, *StructType.fromDDL(f"`{score_col}` double").fields]))

@@ -61,6 +61,7 @@ def held_cache(key: tuple, make: Callable[[], ChunkCache]) -> ChunkCache:
     if key not in _held:
         release()
         _held[key] = make()
+        trim()  # what was read to make it
     return _held[key]
 
 
@@ -77,6 +78,16 @@ def trim() -> None:
         trims(0)
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after whose end freed memory is returned: while it stands, its names hold the last batch and what was made of it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def spaced(texts: pa.Array) -> pa.ListArray:
     """Chunks between ASCII white space; some may be empty."""
     return pc.ascii_split_whitespace(texts)

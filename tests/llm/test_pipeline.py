@@ -46,3 +46,23 @@ def test_nulls_copies_and_clashing_names(spark, tmp_path):
     got = _through(spark, docs, str(tmp_path))
     assert got and {r.doc_id for r in got} <= {r[0] for r in rows if r[0] >= 100 or r[0] >= 20}
     assert _through(spark, docs.limit(0), str(tmp_path)) == []
+
+
+def test_memory_is_returned_after_the_last_batch_is_gone(monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    from tarn.llm import near_dedup, tokens
+
+    held, alive = [], []
+    monkeypatch.setattr(tokens, "trim", lambda: alive.append(sum(x() is not None for x in held)))
+
+    def batches():
+        for block in ("x", "y"):
+            batch = pa.record_batch({"block": [block], "side": [0], "node": [1], "component": [1], "bag": pa.array([bytes(12)], pa.binary())})
+            held.append(weakref.ref(batch))
+            yield batch
+
+    assert len(list(tokens.returning(near_dedup._linked)(batches()))) == 2 and len(held) == 2
+    assert alive[-1] == 0
