@@ -153,7 +153,11 @@ FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)
 def ranked_lists(spark, sf_dir, k=20, stored=None):
     """Two ranked lists of documents for each benchmark passage."""
     named = lambda df, m: df.select("query_id", F.col("doc_id").alias("key"), F.lit(m).alias("method"), "score", "rank")
-    return named(bm25_list(spark, sf_dir, k, stored=stored), "bm25").unionByName(named(keyword_list(spark, sf_dir, k), "keyword"))
+    if stored is not None:
+        bm25, keyword = bm25_list(spark, sf_dir, k, stored=stored), keyword_list(spark, sf_dir, k)
+    else:
+        bm25, keyword = retrieval.bm25_and_keyword(_queries(spark, sf_dir), _docs(spark, sf_dir), k)
+    return named(bm25, "bm25").unionByName(named(keyword, "keyword"))
 
 
 _LISTS = f"""{sql_bm25("base", 20, "b")},
