@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarn.llm.common import col
-from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, returning, small_batches, spaced
+from tarn.llm.tokens import ChunkCache, Chunked, check_words, held_cache, lean, returning, small_batches, spaced, trim
 
 WORD_END = "</w>"
 _NEVER = np.int64(1) << 40
@@ -43,6 +43,8 @@ _NEVER = np.int64(1) << 40
 SIGNS = frozenset(".,;:!?")
 #: Words a worker keeps beside the chunks they occur in.
 MAX_WORDS = 100_000
+#: Chunks a worker keeps, and bytes of text that are encoded together: its memory comes on top of what an executor took for earlier stages.
+MAX_CHUNKS, BYTES_AT_ONCE = 500_000, 3 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -252,7 +254,7 @@ def _new_cache(path: str) -> ChunkCache:
         for ids in bpe.encode_chunks(new):
             yield array("I", ids).tobytes(), b"".join([names[i] for i in ids])
 
-    return ChunkCache(encode, pa.large_binary(), pa.large_binary())
+    return ChunkCache(encode, pa.large_binary(), pa.large_binary(), most=MAX_CHUNKS)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = True) -> DataFrame:
@@ -267,8 +269,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     schema = StructType(rows.drop("__text").schema.fields + StructType.fromDDL(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         cache = _cache(path)
-        for batch, texts in small_batches(batches, "__text"):
+        for batch, texts in small_batches(batches, "__text", BYTES_AT_ONCE):
             found = Chunked(spaced(texts), cache)
             ids = found.joined(0)
             n = [len(x) // 4 for x in ids]
@@ -279,6 +282,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
             columns.append(pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in found.joined(1)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+            trim()
 
     return rows.mapInArrow(returning(run), schema)
 

@@ -21,6 +21,10 @@ import tokenizers
 
 #: Encoded chunks a worker keeps; texts and bytes of text whose chunks are looked up together.
 MAX_CHUNKS, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 4096, 6 << 20
+#: New chunks that are Python objects at once.
+NEW_AT_ONCE = 16_384
+#: Bytes from which a lean worker maps each array by itself, and glibc's number of that setting.
+MAPPED_BYTES, _M_MMAP_THRESHOLD = 1_000_000, -3
 
 
 class ChunkCache:
@@ -38,15 +42,19 @@ class ChunkCache:
         at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
         if found.null_count:
             new = chunks.filter(pc.is_null(found))
-            made = list(self.encode(new.to_pylist()))
-            columns = [made] if len(self.types) == 1 else list(zip(*made, strict=True))
+            made = [self._encoded(new.slice(i, NEW_AT_ONCE)) for i in range(0, len(new), NEW_AT_ONCE)]
             at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
             self.known = pa.concat_arrays([self.known, new])
-            self.values = [pa.concat_arrays([v, pa.array(c, t)]) for v, c, t in zip(self.values, columns, self.types, strict=True)]
+            self.values = [pa.concat_arrays([v, *c]) for v, c in zip(self.values, zip(*made, strict=True), strict=True)]
             self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int32)])
         self.hits[at] += 1
         return at
 
+    def _encoded(self, new: pa.Array) -> list[pa.Array]:
+        made = list(self.encode(new.to_pylist()))
+        columns = [made] if len(self.types) == 1 else zip(*made, strict=True)
+        return [pa.array(c, t) for c, t in zip(columns, self.types, strict=True)]
+
     def _forget(self) -> None:
         kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
         self.known, self.values, self.hits = self.known.take(kept), [v.take(kept) for v in self.values], self.hits[kept] >> 1
@@ -78,6 +86,14 @@ def trim() -> None:
         trims(0)
 
 
+def lean() -> None:
+    """From now on the worker returns each large array to the system when it is freed, at the price of some more page faults."""
+    if pa.default_memory_pool().backend_name != "system":
+        if sets := getattr(_LIBRARY, "mallopt", None):
+            sets(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, after whose end freed memory is returned: while it stands, its names hold the last batch and what was made of it."""
 

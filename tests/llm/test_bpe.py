@@ -82,3 +82,38 @@ def test_kept_columns_of_the_same_names(spark):
     got = bpe.encode(docs, PATH, keep=("id", "n_tokens"))
     assert got.columns == ["id", "id_", "n_tokens_", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     assert sorted((r.id_, r.n_tokens_, r.n_tokens) for r in got.collect()) == [(7, "x", 2), (8, "y", 0)]
+
+
+def test_new_chunks_are_encoded_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from tarn.llm import tokens
+
+    sizes = []
+    monkeypatch.setattr(tokens, "NEW_AT_ONCE", 10)
+    cache = tokens.ChunkCache(lambda new: (sizes.append(len(new)), [(x.encode(), x.encode() * 2) for x in new])[1], pa.large_binary(), pa.large_binary(), most=60)
+    for first in (0, 30, 35, 90):
+        names = [f"w{i}" for i in range(first, first + 45)]
+        at = pa.array(cache.places(pa.array(names)))
+        assert [x.decode() for x in cache.values[0].take(at).to_pylist()] == names and cache.values[1].take(at).to_pylist() == [x.encode() * 2 for x in names]
+    assert max(sizes) == 10
+
+
+def test_lean_worker_returns_freed_arrays():
+    import subprocess
+    import sys
+
+    code = """
+import re
+from tarn.llm import tokens
+import pyarrow as pa
+tokens.lean()
+def held():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1000
+before = held()
+arrays = [pa.concat_arrays([pa.array(range(250_000), pa.int64())] * 2) for _ in range(40)]
+full = held()
+del arrays[1::2]
+print(full - before > 120, full - held() > 60)
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split() == ["True", "True"]
